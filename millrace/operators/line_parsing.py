@@ -34,20 +34,20 @@ def reads_as(kind: Column, cell: Column) -> Column:
     """Whether the cell (spaces around it removed) reads as the kind. Never null for a cell that isn't null."""
     digits = F.regexp_replace(cell, r"\A0+(?=[0-9])", "")
     most = F.lit(str(2**63 - 1))
-    fits = (F.length(digits) < 19) | ((F.length(digits) == 19) & (digits <= most))
+    fits = (F.length(cell) < 19) | (F.length(digits) < 19) | ((F.length(digits) == 19) & (digits <= most))
     out = F.when(kind == "int", cell.rlike(KINDS["int"][1]) & fits)
     for k in ("double", "bool", "sample", "name"):
         out = out.when(kind == k, cell.rlike(KINDS[k][1]))
     return out.otherwise(F.lit(True))
 
 
-def _fields(line: Column, most: int) -> tuple[Column, Column]:
-    """The pieces between tabs, and where each field begins among them (null if the quoting is broken).
+def _fields(line: Column, most: int) -> Column:
+    """The fields of a line without their quotes; null if the quoting is broken.
 
     A field that begins with a quote runs to the next quote that isn't doubled, over tabs and line
-    breaks. With doubled quotes taken out, a piece goes on if no quote is left, closes if the only one
+    breaks. The pieces between tabs are folded: with doubled quotes taken out, a piece goes on if no quote is left, closes if the only one
     left is its last character, and is broken otherwise. Lines without a quote at the beginning of a field,
-    nearly all, never enter the fold. At most ``most + 1`` beginnings are kept: more fields than that are an error anyway,
+    nearly all, are only split. The fold keeps the first ``most + 1`` fields: more are an error anyway,
     and a long broken line then costs time in proportion to its length.
     """
     pieces = F.split(line, "\t", -1)
@@ -65,9 +65,13 @@ def _fields(line: Column, most: int) -> tuple[Column, Column]:
             starts.alias("starts"),
         )
 
-    folded = F.aggregate(pieces, init, step, lambda a: F.when(~a["bad"] & ~a["open"], a["starts"]))
-    plain = F.sequence(F.lit(1), F.least(F.size(pieces), F.lit(most + 1)))
-    return pieces, F.when(line.rlike(r'(?:\A|\t)"'), folded).otherwise(plain)
+    def cut(a: Column) -> Column:
+        def field(s: Column, i: Column) -> Column:
+            return _unquoted(F.array_join(F.slice(pieces, s, F.coalesce(F.get(a["starts"], i + 1), F.size(pieces) + 1) - s), "\t"))
+
+        return F.when(~a["bad"] & ~a["open"], F.transform(a["starts"], field))
+
+    return F.when(line.rlike(r'(?:\A|\t)"'), F.aggregate(pieces, init, step, cut)).otherwise(pieces)
 
 
 def _unquoted(field: Column) -> Column:
@@ -119,31 +123,21 @@ def parse_lines(df: DataFrame, rules: dict[str, list[Rule]], id_col: str, table_
     src = df.where(~F.coalesce(skip, F.lit(False))) if skip is not None else df
     src = src.select(src[id_col].alias("_id"), src[table_col].cast("string").alias("_table"), F.regexp_replace(src[line_col], r"\r\z", "").alias("_line"))
     src = src.where(F.col("_line").rlike(r"\A(?!#)(?s:.*)[^ ]"))
-    pieces, starts = _fields(F.col("_line"), most)
+    parsed = F.struct("_id", "_table", F.xxhash64("_id", "_table", "_line").alias("_key"), _fields(F.col("_line"), most).alias("_cells"))
+    # One row is exploded to one row: filters aren't pushed below this, so a line is split once and not for every use of its cells.
+    src = src.select(F.inline(F.array(parsed)))
     width = F.lit(None).cast("int")
     for table, columns in rules.items():
         width = F.when(F.col("_table") == table, len(columns)).otherwise(width)
-    src = src.select("_id", "_table", F.xxhash64("_id", "_table", "_line").alias("_key"), pieces.alias("_pieces"), starts.alias("_starts"))
-    early = (
-        F.when(width.isNull(), "unknown_table")
-        .when(F.col("_starts").isNull(), "quoting")
-        .when(F.size("_starts") != width, "column_count")
-    )
-    begins = F.col("_starts")
-    cells = F.transform(
-        begins,
-        lambda s, i: F.array_join(
-            F.slice("_pieces", s, F.coalesce(F.get(begins, i + 1), F.size("_pieces") + 1) - s), "\t"
-        ),
-    )
-    lines = src.select("_id", "_table", "_key", early.alias("_early"), F.when(early.isNull(), F.transform(cells, _unquoted)).alias("_cells"))
+    early = F.when(width.isNull(), "unknown_table").when(F.col("_cells").isNull(), "quoting").when(F.size("_cells") != width, "column_count")
+    lines = src.withColumn("_early", early)
 
     table = [(t, i, r.column, r.kind, r.nullable) for t, columns in rules.items() for i, r in enumerate(columns)]
     rule_table = spark.createDataFrame(table, "_table string, _pos int, _column string, _kind string, _nullable boolean")
     exploded = lines.where("_early is null").select("_id", "_table", "_key", F.posexplode("_cells").alias("_pos", "_cell"))
     cell = F.btrim("_cell")
     checked = exploded.join(F.broadcast(rule_table), ["_table", "_pos"]).where(
-        ~((F.col("_nullable") & cell.isin(*NA_SPELLINGS)) | reads_as(F.col("_kind"), cell))
+        ~(reads_as(F.col("_kind"), cell) | (F.col("_nullable") & cell.isin(*NA_SPELLINGS)))
     )
     errors = checked.groupBy("_key", "_id").agg(
         F.min_by("_column", "_pos").alias("first_column"), F.size(F.collect_set("_pos")).alias("n_errors"), F.count("*").alias("_cells_failed")

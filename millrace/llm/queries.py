@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.mixing import Mix, mix_sources
 from millrace.llm.percentiles import merge_sketches, percentiles, sketch_columns
+from millrace.llm.tokenization import encode_texts
 from millrace.llm.top_items import top_items
 from millrace.queries import Query, table
 from millrace.session import cut
@@ -36,7 +38,24 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_items(table(spark, folder, "ex1_golden"), "bed_featname", "bc_bin_z_score", "row_id", 3).select("bed_featname", "rank_no", "row_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_percentiles, p1_day_sketches, p3_found)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(table(spark, folder, "documents"), "text", ["doc_id"])
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    sized = encode_texts(table(spark, folder, "documents"), "text", ["doc_id", "source"], count=True)
+    return mix_sources(sized, "doc_id", "source", "n_tokens", table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).draws
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder).report
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_percentiles, p1_day_sketches, p3_found, p6_ids, p7_mix, p7_shares)}
 
 ORACLES: dict[str, str] = {
     "p3_found": """

@@ -14,14 +14,14 @@ BAND_ACCURACY = 1_000
 
 
 def top_items(
-    df: DataFrame, group: str, score: str, tie: str, n: int, shares: tuple[float, ...] = (1 / 64, 1 / 16, 1 / 4), broadcast_groups: int = 50_000
+    df: DataFrame, group: str, score: str, tie: str, n: int, shares: tuple[float, ...] = (1 / 64, 1 / 16, 1 / 4), broadcast_bytes: int = 4_000_000
 ) -> DataFrame:
     """Rank the ``n`` highest scores of each group: ``group``, ``rank_no`` from 1, ``tie`` and ``score``.
 
     Equal scores are ranked by the smaller ``tie``. The scores are range-partitioned into descending bands: the top band holds about the first
     of ``shares`` of all rows, the last the rest. The bands are written once, without a shuffle, and processed from the top:
 
-    * groups already filled are dropped by an anti-join: before any sorting where their number is at most ``broadcast_groups`` (it is counted first), else
+    * groups already filled are dropped by an anti-join: before any sorting where they take at most ``broadcast_bytes`` (measured first), else
       after the trim below, partitioned by group on both sides;
     * what remains of a band is ranked exactly by (score, tie) and trimmed to ``n`` rows a group in each task before the shuffle
       (Spark's window group limit), so a group with a third of all rows never meets in one task;
@@ -61,8 +61,8 @@ def top_items(
                 top = trimmed(part).withColumn("rank_no", F.col("_r"))
             else:
                 filled = have.where(F.col("_have") >= n).select("_g")
-                small = filled.limit(broadcast_groups + 1).count() <= broadcast_groups
-                if small:
+                size = filled.agg(F.sum(F.octet_length(F.col("_g").cast("string")) + 64)).first()[0] or 0
+                if size <= broadcast_bytes:
                     top = trimmed(part.join(F.broadcast(filled), "_g", "left_anti"))
                 else:
                     top = trimmed(part).join(filled, "_g", "left_anti")

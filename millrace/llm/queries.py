@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.mixing import Mix, mix_sources
 from millrace.llm.percentiles import merge_sketches, percentiles, sketch_columns
+from millrace.llm.text_quality import text_counts, text_forms
 from millrace.llm.tokenization import encode_texts
 from millrace.llm.top_items import top_items
 from millrace.queries import Query, table
@@ -55,11 +56,47 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).report
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_percentiles, p1_day_sketches, p3_found, p6_ids, p7_mix, p7_shares)}
+def _function_words(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The common words of each language: a fixed table of a few words a language."""
+    out: dict[str, list[str]] = {}
+    for r in table(spark, folder, "common_words").where("lang is not null and word is not null").orderBy("lang", "word_rank").collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return out
+
+
+def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The form of every text, and how far its lines are from prose and from the nearest other structure."""
+    return text_forms(table(spark, folder, "documents"), "text", ["doc_id"], _function_words(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_forms(spark, folder).where(F.col("form").isin("list", "table", "junk")).select("doc_id", "form")
+
+
+def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
+    words = sorted({w for own in _function_words(spark, folder).values() for w in own})
+    return text_counts(table(spark, folder, "documents"), "text", ["doc_id"], words)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (p1_percentiles, p1_day_sketches, p3_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms, p8_counts)
+}
 
 ORACLES: dict[str, str] = {
     "p3_found": """
 select bed_featname, cast(row_number() over (partition by bed_featname order by bc_bin_z_score desc, row_id) as integer) as rank_no, row_id
 from ex1_golden where bed_featname is not null and bc_bin_z_score is not null and not isnan(bc_bin_z_score)
 qualify row_number() over (partition by bed_featname order by bc_bin_z_score desc, row_id) <= 3""",
+    "p8_counts": r"""
+with common as (select list(distinct word) as known from common_words), t as (
+  select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{M}]+') as words,
+    [x for x in regexp_split_to_array(text, '\r\n|\r|\n') if trim(x, ' ' || chr(9)) <> ''] as lines from documents
+)
+select doc_id, length(text) as n_chars, len(words) as n_words,
+  case when len(words) > 0 then length(array_to_string(words, '')) / len(words) end as mean_word_length,
+  case when len(words) > 0 then len([w for w in words if list_contains(known, w)]) / len(words) end as common_share,
+  case when length(text) > 0 then length(regexp_replace(text, '[\p{L}\p{M}\p{N}\s]+', '', 'g')) / length(text) end as symbol_ratio,
+  len(lines) as n_lines,
+  case when len(lines) > 0 then len([x for x in lines if regexp_matches(x, '[.!?…。！？]["'')\]»”’]*[ \t]*$')]) / len(lines) end as punctuated_share
+from t, common""",
 }

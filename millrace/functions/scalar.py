@@ -127,7 +127,10 @@ def regexp_replace(x: Column, pattern: str, template: str) -> Column:
 
 
 def sprintf(template: str, args: list[tuple[Column, T.DataType]]) -> Column:
-    """Printf verbs; ``%v`` prints any value as ``to_string``; missing values and times are strings."""
+    """Printf verbs; ``%v`` prints any value as ``to_string``; missing values and times are strings.
+
+    Digits after the point are rounded half up from the shortest decimal form of a float (0.25 is 0.3 with one digit), where C rounds the exact binary value.
+    """
     verbs = iter(re.findall(r"%[-+# 0]*[\d.]*[a-zA-Z%]", template))
     wanted = [v for v in verbs if v != "%%"]
     out = []

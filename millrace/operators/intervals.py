@@ -36,9 +36,8 @@ def overlap_join(
 
     Defined cases: null chromosomes or bounds, and intervals without a position (``end <= start``), overlap nothing; an empty side gives an empty table.
     """
-    keep = [f"`{c}`" for c in rows.columns]
-    left = in_order(rows.select(*keep, chrom.alias("__c"), start.cast("long").alias("__s"), end.cast("long").alias("__e")))
-    left = left.where("__e > __s").select(row_struct(rows).alias("__r"), "__row", "__c", "__s", "__e", F.explode(_bins(F.col("__s"), F.col("__e"), bits)).alias("__b"))
+    left = in_order(rows.select(row_struct(rows).alias("__r"), chrom.alias("__c"), start.cast("long").alias("__s"), end.cast("long").alias("__e")))
+    left = left.where("__e > __s").select("__r", "__row", "__c", "__s", "__e", F.explode(_bins(F.col("__s"), F.col("__e"), bits)).alias("__b"))
     right = features.select(row_struct(features).alias("__f"), F.col("chrom").alias("__c"), F.col("start").cast("long").alias("__fs"), F.col("end").cast("long").alias("__fe"))
     right = right.where("__fe > __fs").withColumn("__b", F.explode(_bins(F.col("__fs"), F.col("__fe"), bits)))
     if output is None:

@@ -18,6 +18,15 @@ def _clean(value: Column) -> Column:
     return F.when(~F.isnan(number), F.when(number == 0.0, F.lit(0.0)).otherwise(number))
 
 
+def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which missing ones are equal."""
+    b = b.withColumnsRenamed({k: f"_right{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right{k}"))
+    return a.join(b, condition, how).drop(*[f"_right{k}" for k in keys])
+
+
 def _aggregates(df: DataFrame, ranges: dict[str, tuple[float, float]], patterns: dict[str, str]) -> DataFrame:
     """Exact aggregates of each column and load: ``_entity``, ``_load``, ``column_name`` and the measures."""
     cells = [
@@ -51,7 +60,7 @@ def _aggregates(df: DataFrame, ranges: dict[str, tuple[float, float]], patterns:
     # Exact median: the sketch brackets the two middle values; all below the bracket collapses to one row, already
     # before the shuffle, all above is dropped, so what is sorted is 4 / SKETCH_ACCURACY of a load at most.
     brackets = base.where("_n_in > 0").select(*group, F.col("_near")[0].alias("_a"), F.col("_near")[1].alias("_z"), "_n_in")
-    close = values.where(inside).join(brackets, group).where("_v <= _z")
+    close = _joined(values.where(inside), brackets, group).where("_v <= _z")
     close = close.groupBy(*group, "_n_in", F.when(F.col("_v") >= F.col("_a"), F.col("_v")).alias("_v")).agg(F.sum("_n").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     close = close.withColumn("_upto", upto)
@@ -60,7 +69,7 @@ def _aggregates(df: DataFrame, ranges: dict[str, tuple[float, float]], patterns:
         return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
 
     middle = close.groupBy(*group).agg(((at(F.floor((F.col("_n_in") - 1) / 2)) + at(F.floor(F.col("_n_in") / 2))) / 2).alias("median_in_range"))
-    return base.join(distinct, group).join(middle, group, "left").drop("_near")
+    return _joined(_joined(base, distinct, group), middle, group, "left").drop("_near")
 
 
 def _bins(value: Column, lo: float, hi: float, cuts: Column) -> Column:

@@ -53,8 +53,8 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
         "select n_nationkey as k, n_name as t from nation union all select n_regionkey + 1000, n_name || '!' from nation",
     ),
     "filter_missing_is_greatest": (
-        "conta | filter(&cf > 0.01) | map({&row_id, &cf, last: isnull(&cf)})",
-        "select row_id, cf, cf is null as last from conta where cf > 0.01 or cf is null",
+        "conta | filter(&depth > 100) | map({&row_id, &depth, last: isnull(&depth)})",
+        "select row_id, depth, depth is null as last from conta where depth > 100 or depth is null",
     ),
     "missing_predicates": (
         """small | map({&row_id, e: &gc == NA, n: &gc != 5, g: &gc > &count, h: &gc >= &count, l: &gc < &count,

@@ -95,13 +95,9 @@ def _raw_zst(spark: SparkSession, path: str) -> DataFrame:
     if head is None:
         return spark.createDataFrame([], "dummycol string")
     names = head["line"].split("\t")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    parsed = F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">"), {"sep": "\t", "mode": "FAILFAST"}) if all(re.fullmatch(r"\w+", n) for n in names) else None
+    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
     body = rows.where(F.col("line") != head["line"])
-    if parsed is not None:
-        return body.select(parsed.alias("r")).select("r.*")
-    cells = F.split("line", "\t", -1)
-    return body.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return body.select(F.from_csv("line", schema, {"sep": "\t", "mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def read_tsv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:

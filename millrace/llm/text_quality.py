@@ -101,6 +101,10 @@ _DIVIDERS = (re.compile(r"\|"), re.compile(r"\t"), re.compile(r";"), re.compile(
 _LINES = re.compile(r"[\r\n  ]+")
 
 
+#: Words that a mark at the beginning of a line, or a divider of cells, weighs as much as.
+MARK, DIVIDER = 2.0, 1.5
+
+
 @dataclass
 class Language:
     """What is known of a language: its function words, its words in prose, and the classes of its prose."""
@@ -145,11 +149,11 @@ def line_classes(line: str, language: Language) -> dict[str, float]:
         return out
     mark = _MARK.match(line)
     if mark:
-        out["B"] += 1
+        out["B"] += MARK
         line = line[mark.end() :]
     n, kind = _divider(line)
     if n:
-        out["D"] += n
+        out["D"] += n * DIVIDER
         line = _DIVIDERS[kind].sub(" " if kind != 3 else "  ", line)
     words = 0
     for m in _TOKEN.finditer(line):

@@ -103,6 +103,8 @@ _LINES = re.compile(r"[\r\n  ]+")
 
 #: Words that a mark at the beginning of a line, or a divider of cells, weighs as much as.
 MARK, DIVIDER = 2.0, 1.5
+#: Words of a short line at most, and the evidence of a list in the shortest.
+SHORT, LISTED = 5, 5.0
 
 
 @dataclass
@@ -193,8 +195,9 @@ def line_classes(line: str, language: Language) -> dict[str, float]:
             out["U"] += max(1.0, len(token) / 3)
         else:
             out["S"] += 0.75
-    if 0 < words <= 5 and out["P"] <= 1 and not re.search(r"[.!?…。！？][\"')»”’]*\s*$", line):
-        out["L"] = 0.5 * words  # only counts where several such lines follow one another
+    if 0 < words <= SHORT and not out["D"] and out["P"] <= 1 and not re.search(r"[.!?…。！？][\"')»”’]*\s*$", line):
+        # Only counts where several such lines follow one another.
+        out["L"] = LISTED * (1 - words / (SHORT + 1)) + 0.5 * out["X"]
     return out
 
 

@@ -13,6 +13,8 @@ from millrace.session import cut
 
 #: At most so many blocks (a power of two, as bits) has a source in each of its rounds; about so many records should a block hold.
 BLOCK_BITS, BLOCK_RECORDS = 12, 16
+#: Tokens of a shard, and shards, where their number isn't given.
+SHARD_TOKENS, FEWEST_SHARDS, MOST_SHARDS = 50_000_000, 16, 4_096
 #: Targets that are taken; the plan of a mix is made on the driver.
 MOST_TARGETS = 1_000
 
@@ -127,7 +129,7 @@ class Mix:
 
 
 def mix_sources(
-    df: DataFrame, record: str, source: str, tokens: str, targets: DataFrame, total_tokens: int | None = None, shards: int = 16, seed: int = 7
+    df: DataFrame, record: str, source: str, tokens: str, targets: DataFrame, total_tokens: int | None = None, shards: int | None = None, seed: int = 7
 ) -> Mix:
     """Mix the records of several sources so that each gives its target share of the tokens.
 
@@ -135,7 +137,7 @@ def mix_sources(
     the shares still hold, or ``total_tokens`` if that is less. A source is used in whole rounds, then in a partial one over a random part of its records; a share
     misses its target by less than one record.
 
-    ``draws``: ``shard``, ``place`` (the order within a shard), the record's column, ``source``, ``round_no`` from 0, ``n_tokens``. ``report``: ``source``, ``target_share``,
+    There are ``shards``, or one for SHARD_TOKENS each. ``draws``: ``shard``, ``place`` (the order within a shard), the record's column, ``source``, ``round_no`` from 0, ``n_tokens``. ``report``: ``source``, ``target_share``,
     ``max_repeats``, ``records`` and ``tokens`` at hand, ``uses``, ``most_uses`` of one record, ``used_tokens``, ``actual_share`` and ``status``: ``mixed``, ``no records``
     (its share goes to the others in proportion) or ``no target`` (left out).
 
@@ -154,6 +156,8 @@ def mix_sources(
     src = cut(df.select(df[record].alias("_id"), df[source].alias("_source"), F.coalesce(df[tokens].cast("long"), F.lit(0)).alias("_n")))
     quotas = _quotas(spark, src, wanted, total_tokens)
     ends = _thresholds(src, quotas, seed)
+    if shards is None:
+        shards = min(MOST_SHARDS, max(FEWEST_SHARDS, sum(q.rounds * q.tokens + q.rest for q in quotas) // SHARD_TOKENS))
 
     deal: list[tuple[str, int, int, int]] = []
     pools = []

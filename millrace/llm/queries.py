@@ -24,10 +24,10 @@ def _day_sketches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """By chromosome and load day, and, with a null ``load_day``, over all days: the days' sketches put together."""
+    """By chromosome and load day, and, with a null ``load_day``, over all days: the days' sketches put together. ``eps`` states the error."""
     days = cut(_day_sketches(spark, folder))
     whole = percentiles(merge_sketches(days, ["chrom"]), ["chrom"], SHARES).withColumn("load_day", F.lit(None).cast("date"))
-    return percentiles(days, ["load_day", "chrom"], SHARES).unionByName(whole)
+    return percentiles(days, ["load_day", "chrom"], SHARES).unionByName(whole).withColumn("eps", F.lit(EPS))
 
 
 def p1_day_sketches(spark: SparkSession, folder: str) -> DataFrame:

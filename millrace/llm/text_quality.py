@@ -84,7 +84,7 @@ PLAIN_PROSE = {"F": 34, "K": 52, "X": 2, "N": 3, "P": 9}
 EMPTY_CELLS = {"n/a", "na", "-", "--", "–", "—", "ok"}
 _TOKEN = re.compile(
     r"(?P<cell></?(?:td|th|tr|table|tbody|thead)\b[^<>]*>)|(?P<item></?(?:li|ul|ol)\b[^<>]*>)|(?P<tag></?[a-zA-Z][^<>\s]*>)"
-    r"|(?P<broken>(?:[Â-ô][\u0080-¿]+)+|[�\u0000-\u0008\u0080-\u009f]+)"
+    r"|(?P<broken>(?:[ÂÃÅÎÏÐÑâãð][\u0080-¿]+)+|[�\u0000-\u0008\u0080-\u009f]+)"
     r"|(?P<na>\bn/a\b)"
     r"|(?P<kana>[぀-ヿ㐀-鿿豈-﫿々]+)"
     r"|(?P<word>[^\W_぀-ヿ㐀-鿿豈-﫿々]+(?:['’\-][^\W\d_぀-ヿ㐀-鿿]+)*)"
@@ -107,6 +107,10 @@ MARK, DIVIDER = 2.0, 1.5
 SHORT, LISTED = 5, 5.0
 
 
+#: Tokens that are kept with their classes.
+REMEMBERED = 50_000
+
+
 @dataclass
 class Language:
     """What is known of a language: its function words, its words in prose, and the classes of its prose."""
@@ -114,6 +118,28 @@ class Language:
     function: frozenset = frozenset()
     words: frozenset = frozenset()
     prose: dict = field(default_factory=lambda: dict(PLAIN_PROSE))
+    seen: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def word(self, token: str) -> tuple[str, float]:
+        """The class and weight of a run of letters and digits; those of recent tokens are kept."""
+        known = self.seen.get(token)
+        if known is None:
+            low = token.lower()
+            if _NUMBER.fullmatch(token):
+                known = "N", max(1.0, len(token) / 4)
+            elif low in self.function:
+                known = "F", 1.0
+            elif low in self.words:
+                known = "K", 1.0
+            elif _shape(token):
+                known = "U", max(1.0, len(token) / 6)
+            else:
+                known = "X", 1.0
+            if len(token) <= 32:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[token] = known
+        return known
 
 
 def _divider(line: str) -> tuple[int, int]:
@@ -161,22 +187,11 @@ def line_classes(line: str, language: Language) -> dict[str, float]:
     for m in _TOKEN.finditer(line):
         token, what = m[0], m.lastgroup
         if what == "word":
-            low = token.lower()
-            if _NUMBER.fullmatch(token):
-                out["N"] += max(1.0, len(token) / 4)
-            elif low in language.function:
-                out["F"] += 1
-                words += 1
-            elif low in language.words:
-                out["K"] += 1
-                words += 1
-            elif _shape(token):
-                out["U"] += max(1.0, len(token) / 6)
-            elif n and low in EMPTY_CELLS:
-                out["N"] += 1
-            else:
-                out["X"] += 1
-                words += 1
+            kind, weight = language.word(token)
+            if n and kind == "X" and token.lower() in EMPTY_CELLS:
+                kind = "N"
+            out[kind] += weight
+            words += kind in "FKX"
         elif what == "kana":
             particles = sum(c in language.function for c in token)
             out["F"] += particles / 2
@@ -231,11 +246,25 @@ def repeated_share(words: list[str]) -> float:
     return 1 - len(set(runs)) / len(runs) if runs else 0.0
 
 
-def best_language(words: list[str], languages: dict[str, Language]) -> str | None:
-    """The language with the most function words and known words among the words; null where none occurs."""
-    found = {name: sum(2 * (w in x.function) + (w in x.words) for w in words) for name, x in languages.items()}
-    top = max(found, key=lambda n: (found[n], n), default=None)
-    return top if top is not None and found[top] else None
+class Voices:
+    """Which languages a word speaks for: twice for a function word, once for a known word."""
+
+    def __init__(self, languages: dict[str, Language]) -> None:
+        self.names = sorted(languages)
+        self.of: dict[str, list[tuple[int, int]]] = {}
+        for i, name in enumerate(self.names):
+            own = languages[name]
+            for w in own.function | own.words:
+                self.of.setdefault(w, []).append((i, 2 * (w in own.function) + (w in own.words)))
+
+    def best(self, words: list[str]) -> str | None:
+        """The language with the most voices among the words; null where there is none."""
+        votes, of = [0] * len(self.names), self.of
+        for w in words:
+            for i, n in of.get(w, ()):
+                votes[i] += n
+        top = max(range(len(votes)), key=lambda i: (votes[i], i), default=None)
+        return self.names[top] if top is not None and votes[top] else None
 
 
 #: Tokens' worth of prose that is added to a line, so that a word or two decide nothing.
@@ -246,42 +275,49 @@ LEAST_JUNK = 4.0
 OVER_WORDS, OVER_SHARE = 10, 0.75
 
 
-def judge(text: str | None, languages: dict[str, Language]) -> tuple[str, int, int, float, float]:
-    """The form of a text: ``prose``, ``list``, ``table``, ``junk`` or ``blank``; lines, lines that aren't prose, and the mean divergence of its
-    lines from prose and from the nearest other structure."""
-    text = _clean(text or "")
-    lines = [x for x in _LINES.split(text) if x.strip()]
-    if not lines:
-        return "blank", 0, 0, 0.0, 0.0
-    words = _words(text)
-    language = languages.get(best_language(words, languages) or "", Language(frozenset(), frozenset().union(*(x.words for x in languages.values())) if languages else frozenset()))
-    weights = [line_classes(x, language) for x in lines]
-    short = [w["L"] > 0 or w["B"] > 0 for w in weights]
-    for i, w in enumerate(weights):
-        lo = hi = i
-        while short[i] and lo > 0 and short[lo - 1]:
-            lo -= 1
-        while short[i] and hi + 1 < len(lines) and short[hi + 1]:
-            hi += 1
-        if hi - lo < 2:
-            w["L"] = 0.0
-    prose = _vector(language.prose)
-    seen = np.array([[w[c] for c in CLASSES] for w in weights])
-    seen = seen + PRIOR * prose
-    seen /= seen.sum(1, keepdims=True)
-    forms = [f for f, profiles in STRUCTURES.items() for _ in profiles]
-    away = _divergence(seen, np.vstack([prose, *(_vector(p) for profiles in STRUCTURES.values() for p in profiles)]))
-    near = away.argmin(1)
-    found = Counter(forms[k - 1] for k in near if k)
-    off = sum(found.values())
-    form = max(found, key=lambda f: (found[f], f == "table", f == "list")) if off * 2 > len(lines) else "prose"
-    if form == "junk" and sum(map(sum, (w.values() for w in weights))) < LEAST_JUNK:
-        form = "prose"
-    marked = sum(w["B"] > 0 for w in weights) * 2 > len(lines)
-    wordy = max(len(_words(x)) for x in lines) >= OVER_WORDS
-    if (form == "prose" or form == "list" and wordy and not marked) and len(words) >= OVER_WORDS and repeated_share(words) > OVER_SHARE:
-        form, off = "junk", len(lines)
-    return form, len(lines), off, float(away[:, 0].mean()), float(away[:, 1:].min(1).mean())
+class Judge:
+    """Tells the form of texts by the profiles of languages and of other structures."""
+
+    def __init__(self, languages: dict[str, Language]) -> None:
+        self.languages, self.voices = languages, Voices(languages)
+        self.any = Language(frozenset(), frozenset().union(*(x.words for x in languages.values())))
+        self.forms = [f for f, profiles in STRUCTURES.items() for _ in profiles]
+        others = [_vector(p) for profiles in STRUCTURES.values() for p in profiles]
+        self.profiles = {name: np.vstack([_vector(x.prose), *others]) for name, x in [*languages.items(), (None, self.any)]}
+
+    def __call__(self, text: str | None) -> tuple[str, int, int, float, float]:
+        """The form of a text: ``prose``, ``list``, ``table``, ``junk`` or ``blank``; lines, lines that aren't prose, and the mean divergence of its
+        lines from prose and from the nearest other structure."""
+        text = _clean(text or "")
+        lines = [x for x in _LINES.split(text) if x.strip()]
+        if not lines:
+            return "blank", 0, 0, 0.0, 0.0
+        words = _words(text)
+        name = self.voices.best(words)
+        language, profiles = self.languages.get(name, self.any), self.profiles[name]
+        weights = [line_classes(x, language) for x in lines]
+        # A run of short or marked lines is evidence of a list, a short line by itself isn't.
+        short, i = [w["L"] > 0 or w["B"] > 0 for w in weights], 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and short[j]:
+                j += 1
+            if j - i < 3:
+                for w in weights[i:j]:
+                    w["L"] = 0.0
+            i = max(j, i + 1)
+        seen = np.array([list(w.values()) for w in weights]) + PRIOR * profiles[0]
+        away = _divergence(seen / seen.sum(1, keepdims=True), profiles)
+        found = Counter(self.forms[k - 1] for k in away.argmin(1) if k)
+        off = sum(found.values())
+        form = max(found, key=lambda f: (found[f], f == "table", f == "list")) if off * 2 > len(lines) else "prose"
+        if form == "junk" and sum(sum(w.values()) for w in weights) < LEAST_JUNK:
+            form = "prose"
+        if form in ("prose", "list") and len(words) >= OVER_WORDS and repeated_share(words) > OVER_SHARE:
+            marked = sum(w["B"] > 0 for w in weights) * 2 > len(lines)
+            if form == "prose" or not marked and max(len(_words(x)) for x in lines) >= OVER_WORDS:
+                form, off = "junk", len(lines)
+        return form, len(lines), off, float(away[:, 0].mean()), float(away[:, 1:].min(1).mean())
 
 
 # ---------------------------------------------------------------- learning of the languages' prose
@@ -295,6 +331,7 @@ TEACH_WORDS, TEACH_SHARE = 6, 0.12
 def _teach(batches: Iterator[pa.RecordBatch], function: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
     """Counts over lines that are surely prose: (language, kind, item, weight)."""
     languages = {n: Language(frozenset(w)) for n, w in function.items()}
+    voices = Voices(languages)
     counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -309,7 +346,7 @@ def _teach(batches: Iterator[pa.RecordBatch], function: dict[str, list[str]]) ->
                 words = _words(line)
                 if len(words) < TEACH_WORDS or not re.search(r"[.!?…。！？]", line) or _MARK.match(line) or _divider(line)[0]:
                     continue
-                name = best_language(words, languages)
+                name = voices.best(words)
                 if name is None or repeated_share(words) > OVER_SHARE:
                     continue
                 if sum(w in languages[name].function for w in words) < TEACH_SHARE * len(words):
@@ -358,8 +395,9 @@ def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) ->
 
 
 def _judge_batches(batches: Iterator[pa.RecordBatch], languages: dict[str, Language], names: list[str]) -> Iterator[pa.RecordBatch]:
+    judge = Judge(languages)
     for batch in batches:
-        rows = [judge(x, languages) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        rows = [judge(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
         columns = list(zip(*rows)) or [[]] * 5
         own = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=names)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.text_quality import CLASSES, Language, _divergence, best_language, judge, learn_languages, repeated_share, text_counts, text_forms
+from millrace.llm.text_quality import CLASSES, Judge, Language, Voices, _divergence, learn_languages, repeated_share, text_counts, text_forms
 
 FUNCTION = {"en": ["the", "of", "and", "to", "a", "in", "is", "it", "for", "was", "on", "with", "my", "i", "not", "but", "at"], "de": ["der", "die", "das", "und", "ist", "ich", "nicht", "ein", "mit", "es"], "ja": ["の", "に", "は", "を", "が", "で", "と", "も", "です"]}
 PROSE = [
@@ -45,7 +45,7 @@ def test_learning(languages):
     ],
 )
 def test_forms(languages, text, form):
-    assert judge(text, languages)[0] == form
+    assert Judge(languages)(text)[0] == form
 
 
 def test_rows(spark, languages):
@@ -83,4 +83,4 @@ def test_counts(spark):
 def test_helpers():
     assert repeated_share("a b c a b c a b c".split()) == 1 - 3 / 7 and repeated_share(["a"]) == 0
     known = {n: Language(frozenset(w)) for n, w in FUNCTION.items()}
-    assert best_language("der hund und die katze".split(), known) == "de" and best_language(["qqq"], known) is None
+    assert Voices(known).best("der hund und die katze".split()) == "de" and Voices(known).best(["qqq"]) is None and Voices({}).best(["a"]) is None

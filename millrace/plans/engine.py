@@ -712,30 +712,47 @@ def _reduce(a: Arguments) -> Any:
     return table_of(groups.fold(df, key.col, value.col, step))
 
 
+def _keyed(a: Arguments, v: Cell) -> tuple[Column, Column, T.DataType, T.DataType]:
+    """Of a table in a cell: its distinct keys, its rows as pairs of key and value, and the types of both."""
+    items, kind = _items(v)
+    made = "map" if "map" in a.named else None
+
+    def pair(x: Column) -> tuple[Cell, Cell]:
+        return to_cell(a.per_row(1, Cell(x, kind))), to_cell(a.per_row(made, Cell(x, kind))) if made else Cell(x, kind)
+
+    key, value = (c.type for c in pair(F.col("x")))
+    pairs = F.transform(items, lambda x: F.struct(pair(x)[0].col.alias("key"), pair(x)[1].col.alias("value")))
+    return F.array_distinct(F.transform(pairs, lambda p: p["key"])), pairs, key, value
+
+
 def _reduce_cell(a: Arguments, v: Any) -> Cell:
     """A fold of a table in a cell: the keys in turn, each with the fold of its values."""
     if isinstance(v, GroupOf):
         raise GroupNeeded
-    items, kind = _items(v)
-    key = to_cell(a.per_row(1, Cell(F.col("x"), kind))).type
-    made = "map" if "map" in a.named else None
-    value = to_cell(a.per_row(made, Cell(F.col("x"), kind))).type if made else kind
+    keys, pairs, key, value = _keyed(a, v)
     f = _legacy(a, 2)
-    pairs = F.transform(items, lambda x: F.struct(to_cell(a.per_row(1, Cell(x, kind))).col.alias("key"), (to_cell(a.per_row(made, Cell(x, kind))).col if made else x).alias("value")))
-    out = T.StructType([T.StructField("key", key), T.StructField("value", value)])
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
 
     def folded(k: Column) -> Column:
         own = F.transform(F.filter(pairs, lambda p: p["key"].eqNullSafe(k)), lambda p: p["value"])
         total = F.aggregate(F.slice(own, 2, F.size(own)), F.get(own, F.lit(0)), lambda x, y: cast_to(to_cell(a.engine.apply(f, [Cell(x, value), Cell(y, value)])), value))
         return F.struct(k.alias("key"), total.alias("value"))
 
-    return Cell(F.transform(keys, folded), T.ArrayType(out))
+    return Cell(F.transform(keys, folded), T.ArrayType(T.StructType([T.StructField("key", key), T.StructField("value", value)])))
 
 
 @builtin("cogroup", 2, 2, ("map", "shards", "row"))
 def _cogroup(a: Arguments) -> Any:
-    df = _whole(a, a.value(0)).df
+    v = a.value(0)
+    if isinstance(v, GroupOf):
+        raise GroupNeeded
+    if _is_cell_table(v) and not v.free:
+        keys, pairs, key, value = _keyed(a, v)
+
+        def listed(k: Column) -> Column:
+            return F.struct(k.alias("key"), F.transform(F.filter(pairs, lambda p: p["key"].eqNullSafe(k)), lambda p: p["value"]).alias("value"))
+
+        return Cell(F.transform(keys, listed), T.ArrayType(T.StructType([T.StructField("key", key), T.StructField("value", T.ArrayType(value))])))
+    df = _whole(a, v).df
     row = row_of(df)
     key = to_cell(a.per_row(1, row))
     value = to_cell(a.per_row("map", row)) if "map" in a.named else None
@@ -750,6 +767,8 @@ def _join(a: Arguments) -> Any:
     named = a.value(0)
     if not isinstance(named, Row):
         raise EvalProblem("join takes a struct of tables")
+    if any(_is_cell_table(t) and not t.free for t in named.fields.values()):
+        return _join_cells(a, named.fields)
     tables = {n: _whole(a, t).df for n, t in named.fields.items()}
 
     def row(name: str) -> Any:
@@ -783,8 +802,80 @@ def _join(a: Arguments) -> Any:
     return table_of(rows.map_rows(out, *_outputs([v])))
 
 
+def _join_cells(a: Arguments, named: dict[str, Any]) -> Cell:
+    """A join of two tables in cells of one row: pairs for which the condition holds, and rows without any for which it holds with the other side missing."""
+    if len(named) != 2:
+        raise EvalProblem("tables in cells are joined two at a time")
+    (n, x), (m, y) = ((name, _items(to_cell(t))) for name, t in named.items())
+
+    def missing(kind: T.DataType) -> Column:
+        return F.lit(None).cast(kind)
+
+    def evaluate(node: s.Node, p: Column, q: Column) -> Any:
+        v = a.engine.eval(node, a.scope | {n: Cell(p, x[1]), m: Cell(q, y[1])})
+        return a.engine.apply(v, [Cell(p, x[1]), Cell(q, y[1])]) if isinstance(v, (Function, Builtin)) else v
+
+    def holds(p: Column, q: Column) -> Column:
+        return F.coalesce(to_cell(evaluate(a.nodes[1], p, q)).col, F.lit(False))
+
+    def both(p: Column, q: Column) -> Column:
+        if "map" in a.named:
+            return to_cell(evaluate(a.named["map"], p, q)).col
+        fields = {name if f is None else f"{name}_{f}": c for name, v, kind in ((n, p, x[1]), (m, q, y[1])) for f, c in ((f, c.col) for f, c in (fields_of(Cell(v, kind)) or {None: Cell(v, kind)}).items())}
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    def left(p: Column) -> Column:
+        found = F.filter(y[0], lambda q: holds(p, q))
+        alone = F.when(holds(p, missing(y[1])), F.array(missing(y[1]))).otherwise(F.array().cast(T.ArrayType(y[1])))
+        return F.transform(F.when(F.size(found) > 0, found).otherwise(alone), lambda q: both(p, q))
+
+    rest = F.filter(y[0], lambda q: ~F.exists(x[0], lambda p: holds(p, q)) & holds(missing(x[1]), q))
+    out = F.concat(F.flatten(F.transform(x[0], left)), F.transform(rest, lambda q: both(missing(x[1]), q)))
+    if "map" in a.named:
+        kind = to_cell(evaluate(a.named["map"], missing(x[1]), missing(y[1]))).type
+    else:
+        parts = [T.StructField(name if f is None else f"{name}_{f}", k) for name, of in ((n, x[1]), (m, y[1])) for f, k in ([(f.name, f.dataType) for f in of.fields] if isinstance(of, T.StructType) else [(None, of)])]
+        kind = T.StructType(parts)
+    return Cell(out, T.ArrayType(kind))
+
+
+#: Features that tables in cells are compared with.
+MOST_FEATURES = 10_000
+
+
+def _joinbed_cell(a: Arguments, v: Cell) -> Cell:
+    """An interval join of a table in a cell with few features: a table in a cell, or one of at most MOST_FEATURES rows."""
+    items, kind = _items(v)
+    other = a.value(1)
+    if isinstance(other, Table) and other.cell is None:
+        found = other.df.limit(MOST_FEATURES + 1).collect()
+        if len(found) > MOST_FEATURES:
+            raise EvalProblem(f"more than {MOST_FEATURES} features for tables in cells")
+        other = literal(found, T.ArrayType(other.df.schema))
+    features, of = _items(to_cell(other))
+
+    def overlap(x: Column, f: Column) -> Column:
+        row = Cell(x, kind)
+        chrom, start, end = (to_cell(a.per_row(c, row) if c in a.named else fields_of(row)[c]).col if c != "end" or "length" not in a.named else None for c in ("chrom", "start", "end"))
+        if end is None:
+            end = start + to_cell(a.per_row("length", row)).col
+        hit = (chrom == f["chrom"]) & (start < f["end"]) & (f["start"] < end) & (start < end) & (f["start"] < f["end"])
+        return F.coalesce(hit, F.lit(False))
+
+    if "map" not in a.named:
+        return Cell(F.filter(items, lambda x: F.exists(features, lambda f: overlap(x, f))), T.ArrayType(kind))
+    made = to_cell(a.per_row("map", Cell(F.col("x"), kind), Cell(F.col("y"), of))).type
+
+    def outputs(x: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(features, lambda f: overlap(x, f)), lambda f: to_cell(a.per_row("map", Cell(x, kind), Cell(f, of))).col))
+
+    return Cell(F.flatten(F.transform(items, outputs)), T.ArrayType(made))
+
+
 @builtin("joinbed", 2, 2, ("chrom", "start", "end", "length", "map", "row"))
 def _joinbed(a: Arguments) -> Any:
+    if _is_cell_table(v := a.value(0)) and not v.free:
+        return _joinbed_cell(a, v)
     df, features = _whole(a, a.value(0)).df, _whole(a, a.value(1)).df
     if features.columns[:3] != ["chrom", "start", "end"]:
         raise EvalProblem("the columns of the features begin with chrom, start and end")

@@ -97,24 +97,33 @@ def _fit(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, ste
     return beta
 
 
+def _saturated(levels: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Log odds of each level: the logistic regression on one column's bins in closed form, with one row of each label added to a bin."""
+    ones, zeros = (np.bincount(levels, weight * (label == v), levels.max() + 1) + 1 for v in (1, 0))
+    return np.log(ones / zeros)
+
+
 def _discriminate(cells: np.ndarray, fold: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> list[tuple[float, float, float]]:
     """For each column: cross-fitted AUC with all columns, without the column, and with it alone."""
-    blocks = []
+    blocks, codes = [], []
     for c in range(cells.shape[1]):
-        levels = np.unique(cells[:, c])
-        blocks.append((cells[:, [c]] == levels[None, 1:]).astype(float))
+        levels, code = np.unique(cells[:, c], return_inverse=True)
+        codes.append(code)
+        blocks.append((code[:, None] == np.arange(1, len(levels))[None, :]).astype(float))
     one = np.ones((len(cells), 1))
     every = range(len(blocks))
-    models = {"all": list(every)} | {("without", c): [k for k in every if k != c] for c in every} | {("alone", c): [c] for c in every}
-    out: dict = {}
-    for name, use in models.items():
-        x, areas = np.hstack([one, *(blocks[k] for k in use)]), []
-        for part in (0, 1):
-            train, test = fold != part, fold == part
-            if len({*label[train]}) < 2 or len({*label[test]}) < 2:
-                continue
-            areas.append(_auc(x[test] @ _fit(x[train], label[train], weight[train], ridge, steps), label[test], weight[test]))
-        out[name] = float(np.mean(areas)) if areas else float("nan")
+    designs = {"all": np.hstack([one, *blocks])} | {("without", c): np.hstack([one, *(blocks[k] for k in every if k != c)]) for c in every}
+    areas: dict = {name: [] for name in [*designs, *(("alone", c) for c in every)]}
+    for part in (0, 1):
+        train, test = fold != part, fold == part
+        if len({*label[train]}) < 2 or len({*label[test]}) < 2:
+            continue
+        for name, x in designs.items():
+            areas[name].append(_auc(x[test] @ _fit(x[train], label[train], weight[train], ridge, steps), label[test], weight[test]))
+        for c in every:
+            odds = _saturated(np.append(codes[c][train], codes[c].max()), np.append(label[train], -1), np.append(weight[train], 0))
+            areas["alone", c].append(_auc(odds[codes[c][test]], label[test], weight[test]))
+    out = {name: float(np.mean(found)) if found else float("nan") for name, found in areas.items()}
     return [(out["all"], out["without", c], out["alone", c]) for c in every]
 
 
@@ -140,15 +149,38 @@ def _two_sample(df: DataFrame, base: DataFrame, ranges: dict[str, tuple[float, f
     counts = rows.select("_entity", "_load", "_y", "_fold", *bins).groupBy("_entity", "_load", "_y", "_fold", *[f"_b_{i}" for i in range(len(names))]).agg(F.count("*").alias("_n"))
 
     entity, load = (df.schema[c].dataType.simpleString() for c in ("_entity", "_load"))
-
-    def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([f"_b_{i}" for i in range(len(names))] + ["_fold", "_y"])
-        cells = pdf[[f"_b_{i}" for i in range(len(names))]].to_numpy()
-        found = _discriminate(cells, pdf["_fold"].to_numpy(), pdf["_y"].to_numpy(float), pdf["_n"].to_numpy(float), ridge, steps)
-        return pd.DataFrame([(*key, c, *x) for c, x in zip(names, found)], columns=["_entity", "_load", "column_name", "auc", "auc_without", "auc_alone"])
+    binned = [f"_b_{i}" for i in range(len(names))]
+    columns = ["_entity", "_load", "column_name", "auc", "auc_without", "auc_alone"]
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by pair, so that a pair's rows follow one another; those of the last pair of a batch wait for the next batch."""
+        waiting: pd.DataFrame | None = None
+        for pdf in _and_end(batches):
+            rows = pdf if waiting is None else waiting if pdf is None else pd.concat([waiting, pdf], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            keys = rows[["_entity", "_load"]]
+            begins = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            ends = [*begins[1:], len(rows)]
+            if pdf is not None:
+                waiting, begins, ends = rows.iloc[begins[-1] :], begins[:-1], ends[:-1]
+            cells, fold, label, weight = rows[binned].to_numpy(), rows["_fold"].to_numpy(), rows["_y"].to_numpy(float), rows["_n"].to_numpy(float)
+            entities, loads = rows["_entity"].to_list(), rows["_load"].to_list()
+            out = [
+                (entities[i], loads[i], name, *found)
+                for i, j in zip(begins, ends)
+                for name, found in zip(names, _discriminate(cells[i:j], fold[i:j], label[i:j], weight[i:j], ridge, steps))
+            ]
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     schema = f"_entity {entity}, _load {load}, column_name string, auc double, auc_without double, auc_alone double"
-    return counts.groupBy("_entity", "_load").applyInPandas(train, schema)
+    return counts.repartition("_entity", "_load").sortWithinPartitions("_entity", "_load", *binned, "_fold", "_y").mapInPandas(train, schema)
+
+
+def _and_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
 
 
 def profile_loads(df: DataFrame, entity: str, load: str, row_id: str, ranges: dict[str, tuple[float, float]], patterns: dict[str, str]) -> DataFrame:

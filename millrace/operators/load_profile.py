@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 #: 1 / the relative rank error of the percentile sketches that bracket the exact median.
 SKETCH_ACCURACY = 10_000
 
@@ -204,7 +206,7 @@ def profile_loads(df: DataFrame, entity: str, load: str, row_id: str, ranges: di
         *[_clean(df[c]).alias(f"_v_{i}") for i, c in enumerate(ranges)],
         *[df[c].cast("string").alias(f"_t_{i}") for i, c in enumerate(patterns)],
     )
-    base = _aggregates(src, ranges, patterns)
+    base = cut(_aggregates(src, ranges, patterns))  # one row for each load and column; read four times below
     tested = _two_sample(src, base, ranges)
     group = ["_entity", "_load", "column_name"]
     measures = ["n_rows", "n_null", "n_distinct", "median_in_range"]

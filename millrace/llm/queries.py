@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.mixing import Mix, mix_sources
 from millrace.llm.percentiles import merge_sketches, percentiles, sketch_columns
 from millrace.llm.text_quality import text_counts, text_forms
-from millrace.llm.tokenization import encode_texts
+from millrace.llm.tokenization import decode_ids, encode_texts
 from millrace.llm.top_items import top_items
 from millrace.queries import Query, table
 from millrace.session import cut
@@ -43,6 +43,11 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), "text", ["doc_id"])
 
 
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts read back from their ids."""
+    return decode_ids(p6_ids(spark, folder), "ids", ["doc_id"])
+
+
 def _mix(spark: SparkSession, folder: str) -> Mix:
     sized = encode_texts(table(spark, folder, "documents"), "text", ["doc_id", "source"], count=True)
     return mix_sources(sized, "doc_id", "source", "n_tokens", table(spark, folder, "mix_targets"))
@@ -79,7 +84,7 @@ def p8_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_percentiles, p1_day_sketches, p3_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms, p8_counts)
+    f.__name__: f for f in (p1_percentiles, p1_day_sketches, p3_found, p6_ids, p6_round_trip, p7_mix, p7_shares, p8_found, p8_forms, p8_counts)
 }
 
 ORACLES: dict[str, str] = {
@@ -87,6 +92,7 @@ ORACLES: dict[str, str] = {
 select bed_featname, cast(row_number() over (partition by bed_featname order by bc_bin_z_score desc, row_id) as integer) as rank_no, row_id
 from ex1_golden where bed_featname is not null and bc_bin_z_score is not null and not isnan(bc_bin_z_score)
 qualify row_number() over (partition by bed_featname order by bc_bin_z_score desc, row_id) <= 3""",
+    "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
     "p8_counts": r"""
 with common as (select list(distinct word) as known from common_words), t as (
   select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{M}]+') as words,

@@ -107,7 +107,7 @@ MARK, DIVIDER = 2.0, 1.5
 SHORT, LISTED = 5, 5.0
 
 
-#: Tokens that are kept with their classes.
+#: Pieces of text that are kept with their classes.
 REMEMBERED = 50_000
 
 
@@ -118,28 +118,18 @@ class Language:
     function: frozenset = frozenset()
     words: frozenset = frozenset()
     prose: dict = field(default_factory=lambda: dict(PLAIN_PROSE))
-    seen: dict = field(default_factory=dict, repr=False, compare=False)
+    pieces: dict = field(default_factory=dict, repr=False, compare=False)
 
     def word(self, token: str) -> tuple[str, float]:
-        """The class and weight of a run of letters and digits; those of recent tokens are kept."""
-        known = self.seen.get(token)
-        if known is None:
-            low = token.lower()
-            if _NUMBER.fullmatch(token):
-                known = "N", max(1.0, len(token) / 4)
-            elif low in self.function:
-                known = "F", 1.0
-            elif low in self.words:
-                known = "K", 1.0
-            elif _shape(token):
-                known = "U", max(1.0, len(token) / 6)
-            else:
-                known = "X", 1.0
-            if len(token) <= 32:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[token] = known
-        return known
+        """The class and weight of a run of letters and digits."""
+        low = token.lower()
+        if _NUMBER.fullmatch(token):
+            return "N", max(1.0, len(token) / 4)
+        if low in self.function:
+            return "F", 1.0
+        if low in self.words:
+            return "K", 1.0
+        return ("U", max(1.0, len(token) / 6)) if _shape(token) else ("X", 1.0)
 
 
 def _divider(line: str) -> tuple[int, int]:
@@ -169,26 +159,14 @@ def _shape(word: str) -> bool:
     return len(word) > 3 and not word.isupper() and sum(c.isupper() for c in inner) * 4 > len(word)
 
 
-def line_classes(line: str, language: Language) -> dict[str, float]:
-    """Weights of the classes of the tokens of a line. Runs that aren't words count by their length."""
-    out: dict[str, float] = dict.fromkeys(CLASSES, 0.0)
-    if _RULE.match(line):
-        out["D"] = 4.0
-        return out
-    mark = _MARK.match(line)
-    if mark:
-        out["B"] += MARK
-        line = line[mark.end() :]
-    n, kind = _divider(line)
-    if n:
-        out["D"] += n * DIVIDER
-        line = _DIVIDERS[kind].sub(" " if kind != 3 else "  ", line)
-    words = 0
-    for m in _TOKEN.finditer(line):
+def _tokens(text: str, language: Language, out: dict[str, float], divided: bool) -> float:
+    """Add the weights of the classes of a text's tokens to ``out``; gives its words. ``divided``: the text has cells."""
+    words = 0.0
+    for m in _TOKEN.finditer(text):
         token, what = m[0], m.lastgroup
         if what == "word":
             kind, weight = language.word(token)
-            if n and kind == "X" and token.lower() in EMPTY_CELLS:
+            if divided and kind == "X" and token.lower() in EMPTY_CELLS:
                 kind = "N"
             out[kind] += weight
             words += kind in "FKX"
@@ -204,12 +182,46 @@ def line_classes(line: str, language: Language) -> dict[str, float]:
             out["D"] += 1
         elif what == "item":
             out["B"] += 1
-        elif what == "na" or (n and token in EMPTY_CELLS):
+        elif what == "na" or (divided and token in EMPTY_CELLS):
             out["N"] += 1
         elif what == "broken":
             out["U"] += max(1.0, len(token) / 3)
         else:
             out["S"] += 0.75
+    return words
+
+
+def line_classes(line: str, language: Language) -> dict[str, float]:
+    """Weights of the classes of the tokens of a line. Runs that aren't words count by their length."""
+    out: dict[str, float] = dict.fromkeys(CLASSES, 0.0)
+    if _RULE.match(line):
+        out["D"] = 4.0
+        return out
+    mark = _MARK.match(line)
+    if mark:
+        out["B"] += MARK
+        line = line[mark.end() :]
+    n, kind = _divider(line)
+    if n:
+        out["D"] += n * DIVIDER
+        line = _DIVIDERS[kind].sub(" " if kind != 3 else "  ", line)
+    words = 0.0
+    if n or "<" in line:
+        words += _tokens(line, language, out, n > 0)
+    else:
+        # No token but a tag holds white space, so pieces between white space are counted for themselves, and most have been before.
+        for piece in line.split():
+            own = language.pieces.get(piece)
+            if own is None:
+                counts = dict.fromkeys(CLASSES, 0.0)
+                own = _tokens(piece, language, counts, False), [x for x in counts.items() if x[1]]
+                if len(piece) <= 32:
+                    if len(language.pieces) >= REMEMBERED:
+                        language.pieces.clear()
+                    language.pieces[piece] = own
+            words += own[0]
+            for kind, weight in own[1]:
+                out[kind] += weight
     if 0 < words <= SHORT and not out["D"] and out["P"] <= 1 and not re.search(r"[.!?…。！？][\"')»”’]*\s*$", line):
         # Only counts where several such lines follow one another.
         out["L"] = LISTED * (1 - words / (SHORT + 1)) + 0.5 * out["X"]

@@ -128,3 +128,21 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VO
     src = df.select(*[df[k] for k in keep], df[text].cast("string").alias("_text"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField(name, kind)])
     return src.mapInArrow(partial(_ids, vocabulary=vocabulary, pattern=pattern, names=[*keep, name], count=count), schema)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], vocabulary: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    ready = sys.__dict__.setdefault("_millrace_tokens", {})
+    if vocabulary not in ready:
+        with open(vocabulary, "rb") as lines:
+            ready[vocabulary] = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+    of = ready[vocabulary].__getitem__
+    for batch in batches:
+        texts = [b"".join(map(of, x)).decode(errors="replace") if x is not None else None for x in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=names)
+
+
+def decode_ids(df: DataFrame, ids: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
+    """``keep`` and the column ``text`` of lists of token ids, for round trips. A null list has a null text; bytes that are no character are replaced."""
+    src = df.select(*[df[k] for k in keep], df[ids].alias("_ids"))
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField("text", T.StringType())])
+    return src.mapInArrow(partial(_texts, vocabulary=vocabulary, names=[*keep, "text"]), schema)

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from millrace.llm.tokenization import VOCABULARY, ForcedBoundaryEncoder, encode_texts
+from millrace.llm.tokenization import VOCABULARY, ForcedBoundaryEncoder, decode_ids, encode_texts
 
 pytestmark = pytest.mark.skipif(not Path(VOCABULARY).exists(), reason="no vocabulary")
 
@@ -69,3 +69,6 @@ def test_rows(spark, other):
     assert encode_texts(df, "text", ["id"]).schema["ids"].dataType.simpleString() == "array<int>"
     assert [r.n_tokens for r in encode_texts(df, "text", ["id"], count=True).collect()] == [len(r.ids) for r in got]
     assert encode_texts(df.where("false"), "text", ["id"]).count() == 0
+    back = decode_ids(encode_texts(df, "text", ["id"]), "ids", ["id"]).collect()
+    assert [r.text for r in back] == [x or "" for _, x, _ in rows]
+    assert decode_ids(spark.createDataFrame([(1, None)], "id long, ids array<int>"), "ids", ["id"]).first().text is None

@@ -100,3 +100,12 @@ def anti_join(left: DataFrame, right: DataFrame, x: Column, y: Column) -> DataFr
 def semi_join(left: DataFrame, right: DataFrame, x: Column, y: Column) -> DataFrame:
     """Rows on the left with a partner, once each; missing keys are equal to each other."""
     return left.join(right, x.eqNullSafe(y), "left_semi")
+
+
+def without_partner(tables: dict[str, DataFrame], m: Match) -> DataFrame:
+    """What :func:`join_tables` gives for a left (or right) join of two tables whose other key is missing: an anti-join, and missing values for the other side."""
+    keep, lose = (m.left, m.right) if m.op == "==?" else (m.right, m.left)
+    keys = {m.left: m.left_key, m.right: m.right_key}
+    out = anti_join(prefixed(keep, tables[keep]), prefixed(lose, tables[lose]), _column(keep, keys[keep]), _column(lose, keys[lose]))
+    absent = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in prefixed(lose, tables[lose]).schema.fields}
+    return out.select(*[absent.get(c, F.col(f"`{c}`")) for n, t in tables.items() for c in prefixed(n, t).columns])

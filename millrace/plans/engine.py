@@ -793,7 +793,11 @@ def _join(a: Arguments) -> Any:
             matches.append(joins.Match(*x, node.op, *y))
 
     walk(a.nodes[1])
-    out = joins.join_tables(tables, matches, lambda: _condition(a.engine.eval(a.nodes[1], inner)), a.engine.compat_na_join)
+    condition = a.nodes[1]
+    if len(tables) == 2 and len(matches) == 1 and isinstance(condition, s.Op) and condition.op == "&&" and _misses(condition.right, matches[0], key):
+        out = joins.without_partner(tables, matches[0])
+    else:
+        out = joins.join_tables(tables, matches, lambda: _condition(a.engine.eval(condition, inner)), a.engine.compat_na_join)
     if "map" not in a.named:
         return table_of(out)
     v = a.engine.eval(a.named["map"], inner)
@@ -802,6 +806,12 @@ def _join(a: Arguments) -> Any:
     return table_of(rows.map_rows(out, *_outputs([v])))
 
 
+def _misses(node: s.Node, m: joins.Match, key: Callable) -> bool:
+    """Whether a condition says that the key of the side that may be absent is missing."""
+    absent = {"==?": (m.right, m.right_key), "?==": (m.left, m.left_key)}.get(m.op)
+    return isinstance(node, s.Call) and node.function == s.Var("isnull") and len(node.args) == 1 and absent is not None and key(node.args[0]) == absent
+
+
 def _join_cells(a: Arguments, named: dict[str, Any]) -> Cell:
     """A join of two tables in cells of one row: pairs for which the condition holds, and rows without any for which it holds with the other side missing."""
     if len(named) != 2:

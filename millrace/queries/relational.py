@@ -167,6 +167,10 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
         "join({a: nation, b: supplier | filter(&s_acctbal > 5000.0)}, a.n_nationkey ==? b.s_nationkey && isnull(b.s_suppkey), map:={a.n_name})",
         "select n_name from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)",
     ),
+    "join_anti_by_key": (
+        "join({a: customer, b: orders | filter(&o_totalprice > 300000.0)}, a.c_custkey ==? b.o_custkey && isnull(b.o_custkey), map:={a.c_custkey, b.o_orderkey})",
+        "select c_custkey, null as o_orderkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)",
+    ),
     "join_three": (
         "join({c: customer, n: nation, r: region}, c.c_nationkey == n.n_nationkey && n.n_regionkey == r.r_regionkey && c.c_acctbal > 1000.0, map:={c.c_custkey, n.n_name, r.r_name})",
         "select c_custkey, n_name, r_name from customer, nation, region where c_nationkey = n_nationkey and n_regionkey = r_regionkey and c_acctbal > 1000",

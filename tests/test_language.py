@@ -153,6 +153,8 @@ def test_joins(engine):
     assert got("join({a:A,b:B}, a.x?==b.y, map:={x:a.x, y:b.y})") == ["{x:1,y:1}", "{x:2,y:2}", "{x:NA,y:4}"]
     assert got("join({a:A,b:B}, a.x?==?b.y, map:={x:a.x, y:b.y})") == ["{x:0,y:NA}", "{x:1,y:1}", "{x:2,y:2}", "{x:NA,y:4}"]
     assert got("join({a:A,b:B}, a.x==?b.y && isnull(b.y), map:={x:a.x})") == ["{x:0}"]
+    lost = engine.eval_text("join({a:A,b:B}, a.x?==b.y && isnull(a.x))")
+    assert table_text(lost) == ["{a_x:NA,a_s:NA,b_y:4,b_s:b4}"] and "LeftAnti" in lost._jdf.queryExecution().optimizedPlan().toString()
     assert got("join({a:A,b:B}, a.x>b.y, map:=|a,b|{a.x,b.y})") == ["{x:2,y:1}"]
     engine.run("C := table({z:2,t:`c`})")
     assert got("join({a:A,b:B,c:C}, a.x==b.y && b.y==c.z, map:={a.x,c.t})") == ["{x:2,t:c}"]

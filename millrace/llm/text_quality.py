@@ -98,6 +98,7 @@ _MARK = re.compile(
 _RULE = re.compile(r"\s*[|+][-=+|: ]{2,}\s*$|\s*[-=_]{3,}(?:\s+[-=_]{3,})*\s*$")
 _NUMBER = re.compile(r"\d[\d.,:]*")
 _DIVIDERS = (re.compile(r"\|"), re.compile(r"\t"), re.compile(r";"), re.compile(r",(?=\S)"), re.compile(r"(?<=\S) / (?=\S)"), re.compile(r"(?<=\S) {2,}(?=\S)"))
+_SENTENCE = re.compile(r"[.!?…。！？]")
 _LINES = re.compile(r"[\r\n  ]+")
 
 
@@ -249,7 +250,8 @@ def _words(text: str) -> list[str]:
 
 
 def _clean(text: str) -> str:
-    return html.unescape(unicodedata.normalize("NFC", text)) if text else ""
+    text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    return html.unescape(text) if "&" in text else text
 
 
 def repeated_share(words: list[str]) -> float:
@@ -264,11 +266,26 @@ class Voices:
     def __init__(self, languages: dict[str, Language]) -> None:
         self.names = sorted(languages)
         self.of: dict[str, list[tuple[int, int]]] = {}
+        self.kept: dict[str, list[str]] = {}
         for i, name in enumerate(self.names):
             own = languages[name]
             for w in own.function | own.words:
                 self.of.setdefault(w, []).append((i, 2 * (w in own.function) + (w in own.words)))
 
+    def words(self, text: str) -> list[str]:
+        """``_words``; none holds white space, so those of pieces between white space are kept for later texts."""
+        out: list[str] = []
+        for piece in text.split():
+            own = self.kept.get(piece)
+            if own is None:
+                own = _words(piece)
+                if len(piece) <= 32:
+                    if len(self.kept) >= REMEMBERED:
+                        self.kept.clear()
+                    self.kept[piece] = own
+            out += own
+        return out
+
     def best(self, words: list[str]) -> str | None:
         """The language with the most voices among the words; null where there is none."""
         votes, of = [0] * len(self.names), self.of
@@ -300,15 +317,36 @@ class Judge:
     def __call__(self, text: str | None) -> tuple[str, int, int, float, float]:
         """The form of a text: ``prose``, ``list``, ``table``, ``junk`` or ``blank``; lines, lines that aren't prose, and the mean divergence of its
         lines from prose and from the nearest other structure."""
-        text = _clean(text or "")
-        lines = [x for x in _LINES.split(text) if x.strip()]
-        if not lines:
-            return "blank", 0, 0, 0.0, 0.0
-        words = _words(text)
-        name = self.voices.best(words)
-        language, profiles = self.languages.get(name, self.any), self.profiles[name]
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[tuple[str, int, int, float, float]]:
+        """The forms of texts; the divergences of all lines of a language are computed at once."""
+        out: list = [("blank", 0, 0, 0.0, 0.0)] * len(texts)
+        read, rows = [], {name: [] for name in self.profiles}
+        for i, text in enumerate(texts):
+            text = _clean(text or "")
+            lines = [x for x in _LINES.split(text) if x.strip()]
+            if not lines:
+                continue
+            words = self.voices.words(text)
+            name = self.voices.best(words)
+            weights = self.weigh(lines, self.languages.get(name, self.any))
+            read.append((i, name, len(rows[name]), lines, words, weights))
+            rows[name] += [list(w.values()) for w in weights]
+        away = {}
+        for name, found in rows.items():
+            if found:
+                seen = np.array(found) + PRIOR * self.profiles[name][0]
+                seen /= seen.sum(1, keepdims=True)
+                away[name] = np.concatenate([_divergence(seen[k : k + 20_000], self.profiles[name]) for k in range(0, len(seen), 20_000)])
+        for i, name, at, lines, words, weights in read:
+            out[i] = self.decide(lines, words, weights, away[name][at : at + len(lines)])
+        return out
+
+    @staticmethod
+    def weigh(lines: list[str], language: Language) -> list[dict[str, float]]:
+        """Weights of the classes of each line. A run of short or marked lines is evidence of a list, a short line by itself isn't."""
         weights = [line_classes(x, language) for x in lines]
-        # A run of short or marked lines is evidence of a list, a short line by itself isn't.
         short, i = [w["L"] > 0 or w["B"] > 0 for w in weights], 0
         while i < len(lines):
             j = i
@@ -318,9 +356,10 @@ class Judge:
                 for w in weights[i:j]:
                     w["L"] = 0.0
             i = max(j, i + 1)
-        seen = np.array([list(w.values()) for w in weights]) + PRIOR * profiles[0]
-        away = _divergence(seen / seen.sum(1, keepdims=True), profiles)
-        found = Counter(self.forms[k - 1] for k in away.argmin(1) if k)
+        return weights
+
+    def decide(self, lines: list[str], words: list[str], weights: list[dict[str, float]], away: np.ndarray) -> tuple[str, int, int, float, float]:
+        found = Counter(self.forms[k - 1] for k in away.argmin(1).tolist() if k)
         off = sum(found.values())
         form = max(found, key=lambda f: (found[f], f == "table", f == "list")) if off * 2 > len(lines) else "prose"
         if form == "junk" and sum(sum(w.values()) for w in weights) < LEAST_JUNK:
@@ -344,35 +383,37 @@ def _teach(batches: Iterator[pa.RecordBatch], function: dict[str, list[str]]) ->
     """Counts over lines that are surely prose: (language, kind, item, weight)."""
     languages = {n: Language(frozenset(w)) for n, w in function.items()}
     voices = Voices(languages)
-    counts: Counter = Counter()
+    found = {n: (Counter(), Counter()) for n in languages}  # words; lines and classes
 
     def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]), pa.array([float(counts[k]) for k in keys])], names=["lang", "kind", "item", "weight"])
-        counts.clear()
-        return out
+        rows = [(n, kind, item, float(weight)) for n, (words, rest) in found.items() for kind, part in (("word", words), ("rest", rest)) for item, weight in part.items()]
+        for words, rest in found.values():
+            words.clear()
+            rest.clear()
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["lang", "kind", "item", "weight"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for line in _LINES.split(_clean(text or "")):
-                words = _words(line)
-                if len(words) < TEACH_WORDS or not re.search(r"[.!?…。！？]", line) or _MARK.match(line) or _divider(line)[0]:
+                words = voices.words(line)
+                if len(words) < TEACH_WORDS or not _SENTENCE.search(line) or _MARK.match(line) or _divider(line)[0]:
                     continue
                 name = voices.best(words)
                 if name is None or repeated_share(words) > OVER_SHARE:
                     continue
-                if sum(w in languages[name].function for w in words) < TEACH_SHARE * len(words):
+                function = languages[name].function
+                if sum([w in function for w in words]) < TEACH_SHARE * len(words):
                     continue
-                counts[name, "lines", ""] += 1
-                for w in set(words):
-                    counts[name, "word", w] += 1
+                known, rest = found[name]
+                known.update(set(words))
+                rest["lines"] += 1
                 for c, x in line_classes(line, languages[name]).items():
                     if x and c != "L":
-                        counts[name, "class", c] += x
-        if len(counts) > 200_000:
+                        rest[c] += x
+        if sum(len(words) for words, _ in found.values()) > 200_000:
             yield flush()
-    if counts:
-        yield flush()
+    yield flush()
 
 
 def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) -> dict[str, Language]:
@@ -386,8 +427,8 @@ def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) ->
     counts = counts.groupBy("lang", "kind", "item").agg(F.sum("weight").alias("weight"))
     counts = counts.where((F.col("kind") != "word") | (F.col("weight") >= FEWEST)).persist()
     try:
-        base = counts.where("kind <> 'word'").collect()
-        lines = {r["lang"]: r["weight"] for r in base if r["kind"] == "lines"}
+        base = counts.where("kind = 'rest'").collect()
+        lines = {r["lang"]: r["weight"] for r in base if r["item"] == "lines"}
         words: dict[str, list[str]] = {}
         for name, n in lines.items():
             least = max(FEWEST, RARE * n)
@@ -397,7 +438,7 @@ def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) ->
         counts.unpersist()
     out = {}
     for name, known in function.items():
-        seen = {r["item"]: r["weight"] for r in base if r["lang"] == name and r["kind"] == "class"}
+        seen = {r["item"]: r["weight"] for r in base if r["lang"] == name and r["item"] != "lines"}
         if seen:
             # No words were known while counting, so all words but function words came out as unknown.
             seen["K"] = seen.get("K", 0.0) + 0.97 * seen.get("X", 0.0)
@@ -409,7 +450,7 @@ def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) ->
 def _judge_batches(batches: Iterator[pa.RecordBatch], languages: dict[str, Language], names: list[str]) -> Iterator[pa.RecordBatch]:
     judge = Judge(languages)
     for batch in batches:
-        rows = [judge(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        rows = judge.many(batch.column(batch.num_columns - 1).to_pylist())
         columns = list(zip(*rows)) or [[]] * 5
         own = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=names)

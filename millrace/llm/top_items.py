@@ -14,7 +14,7 @@ BAND_ACCURACY = 1_000
 
 
 def top_items(
-    df: DataFrame, group: str, score: str, tie: str, n: int, shares: tuple[float, ...] = (1 / 64, 1 / 16, 1 / 4), broadcast_bytes: int = 4_000_000
+    df: DataFrame, group: str, score: str, tie: str, n: int, shares: tuple[float, ...] = (1 / 64, 1 / 16, 1 / 4), broadcast_bytes: int = 1_000_000
 ) -> DataFrame:
     """Rank the ``n`` highest scores of each group: ``group``, ``rank_no`` from 1, ``tie`` and ``score``.
 

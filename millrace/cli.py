@@ -9,6 +9,7 @@ import sys
 
 from millrace.plans.engine import BUILTINS, PRINTED, Engine, EvalProblem, table_text, text_of
 from millrace.plans.syntax import SyntaxProblem
+from millrace.plans.usage import USAGE
 from millrace.plans.values import Table, table_of
 from millrace.session import local_session
 from millrace.sources import registry
@@ -33,7 +34,7 @@ def show(engine: Engine, v: object) -> str:
 
 def help_text(name: str = "") -> str:
     if name in BUILTINS:
-        return f"{name}: {(BUILTINS[name].__doc__ or 'see README.md').strip()}"
+        return USAGE[name]
     return "functions: " + ", ".join(sorted(BUILTINS))
 
 

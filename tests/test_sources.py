@@ -119,4 +119,4 @@ def test_prompt(spark, tmp_path):
     lines, said = iter(["x := 3;", "table(1,", "x)", "x + y", f"x + 1 > {tmp_path}/out.txt", "help map", "help", "history", "quit"]), []
     prompt(Engine(spark), lambda _: next(lines), said.append)
     assert "1\n3" in said and any("y isn't defined" in x for x in said) and (tmp_path / "out.txt").read_text() == "4\n"
-    assert any(x.startswith("map:") for x in said) and any(x.startswith("functions:") for x in said)
+    assert any(x.startswith("map(tbl") for x in said) and any(x.startswith("functions:") for x in said)

@@ -134,22 +134,20 @@ def parse_lines(df: DataFrame, rules: dict[str, list[Rule]], id_col: str, table_
 
     table = [(t, i, r.column, r.kind, r.nullable) for t, columns in rules.items() for i, r in enumerate(columns)]
     rule_table = spark.createDataFrame(table, "_table string, _pos int, _column string, _kind string, _nullable boolean")
-    exploded = lines.where("_early is null").select("_id", "_table", "_key", F.posexplode("_cells").alias("_pos", "_cell"))
+    # Lines that can't be cut into the right number of cells have no cells to explode: one row without a position each.
+    exploded = lines.select("_id", "_table", "_key", "_early", F.posexplode_outer(F.when(F.col("_early").isNull(), F.col("_cells"))).alias("_pos", "_cell"))
     cell = F.btrim("_cell")
-    checked = exploded.join(F.broadcast(rule_table), ["_table", "_pos"]).where(
-        ~(reads_as(F.col("_kind"), cell) | (F.col("_nullable") & cell.isin(*NA_SPELLINGS)))
+    valid = reads_as(F.col("_kind"), cell) | (F.col("_nullable") & cell.isin(*NA_SPELLINGS))
+    checked = exploded.join(F.broadcast(rule_table), ["_table", "_pos"], "left").where(F.col("_early").isNotNull() | ~valid)
+    errors = checked.groupBy("_key", "_id", "_early").agg(
+        F.min_by("_column", "_pos").alias("first_column"), F.size(F.collect_set("_pos")).alias("n_errors"), F.count("*").alias("_failed")
     )
-    errors = checked.groupBy("_key", "_id").agg(
-        F.min_by("_column", "_pos").alias("first_column"), F.size(F.collect_set("_pos")).alias("n_errors"), F.count("*").alias("_cells_failed")
+    # A line that is repeated as a whole, id included, fails once for each copy: one rejected row for each, too.
+    copies = F.array_repeat(F.lit(1), (F.col("_failed") / F.greatest("n_errors", F.lit(1))).cast("int"))
+    rejected = errors.withColumn("_copy", F.explode(copies)).select(
+        F.col("_id").alias("line_id"), F.coalesce("_early", F.lit("value")).alias("reason"), "first_column", "n_errors", F.col("_key").alias("row_key")
     )
-    # A line that is repeated as a whole, id included, has failing cells for each copy: one rejected row for each, too.
-    copies = F.array_repeat(F.lit(1), (F.col("_cells_failed") / F.col("n_errors")).cast("int"))
-    late = errors.withColumn("_copy", F.explode(copies))
-    late = late.select(F.col("_id").alias("line_id"), F.lit("value").alias("reason"), "first_column", "n_errors", F.col("_key").alias("row_key"))
-    soon = lines.where("_early is not null").select(
-        F.col("_id").alias("line_id"), F.col("_early").alias("reason"), F.lit(None).cast("string").alias("first_column"), F.lit(0).alias("n_errors"), F.col("_key").alias("row_key")
-    )
-    return ParsedLines(lines, soon.unionByName(late), rules)
+    return ParsedLines(lines, rejected, rules)
 
 
 def lab_rules() -> dict[str, list[Rule]]:

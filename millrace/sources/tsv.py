@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.scalar import to_string
+from millrace.functions.scalar import float_text, to_string
 
 # The spellings of a missing value.
 NA_SPELLINGS = ("", "NA", "#N/A", "#N/A N/A", "#NA", "N/A", "NULL", "NaN", "nan", "-NaN", "-nan", "-1.#IND", "-1.#QNAN")
@@ -115,9 +115,13 @@ def read_tsv(spark: SparkSession, path: str, types: dict[str, str] | None = None
 
 def cell_text(x: Column, t: T.DataType) -> Column:
     """How a value is written: missing as ``NA``, tabs and line breaks as spaces."""
+    if isinstance(t, (T.IntegralType, T.BooleanType, T.DateType)):
+        return F.coalesce(x.cast("string"), F.lit("NA"))
+    if isinstance(t, T.FractionalType):
+        return F.coalesce(float_text(x), F.lit("NA"))
     if isinstance(t, (T.ArrayType, T.StructType, T.MapType)):
         x, t = F.to_json(x), T.StringType()
-    return F.regexp_replace(F.when(x.isNull(), "NA").otherwise(to_string(x, t)), r"[\t\r\n]", " ")
+    return F.translate(F.when(x.isNull(), "NA").otherwise(to_string(x, t)), "\t\r\n", "   ")
 
 
 def write_tsv(df: DataFrame, path: str, mode: str, shards: int = 1, header: bool = True) -> None:

@@ -17,13 +17,20 @@ def is_float(t: T.DataType) -> bool:
     return isinstance(t, T.FractionalType)
 
 
+def _micros_utc(x: Column) -> Column:
+    """Microseconds since 1970 of a time without a zone, taken as UTC whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), x)
+
+
 def to_int(x: Column, t: T.DataType) -> Column:
     """Missing is 0, a float is truncated, a string must begin with a number, a time is in seconds since 1970, a duration in nanoseconds."""
     if isinstance(t, T.NullType):
         return F.lit(0).cast("long")
     if isinstance(t, T.StringType):
         out = F.regexp_extract(x, r"^\s*([+-]?[0-9]+)", 1).try_cast("long")
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    elif isinstance(t, T.TimestampNTZType):
+        out = F.floor(_micros_utc(x) / 1_000_000)
+    elif isinstance(t, (T.TimestampType, T.DateType)):
         out = F.unix_seconds(x.cast("timestamp"))
     elif isinstance(t, T.DayTimeIntervalType):
         out = (F.extract(F.lit("DAY"), x) * 86_400_000_000 + F.extract(F.lit("HOUR"), x) * 3_600_000_000 + F.extract(F.lit("MINUTE"), x) * 60_000_000 + (F.extract(F.lit("SECOND"), x) * 1_000_000).cast("long")) * 1_000
@@ -38,7 +45,9 @@ def to_float(x: Column, t: T.DataType) -> Column:
         return F.lit(0.0)
     if isinstance(t, T.StringType):
         out = F.regexp_extract(x, r"^\s*([+-]?[0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    elif isinstance(t, T.TimestampNTZType):
+        out = _micros_utc(x) / 1e6
+    elif isinstance(t, (T.TimestampType, T.DateType)):
         out = F.unix_micros(x.cast("timestamp")) / 1e6
     elif isinstance(t, T.DayTimeIntervalType):
         out = to_int(x, t) / 1e9

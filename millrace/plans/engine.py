@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
 
@@ -230,7 +231,14 @@ class Engine:
         texts = (T.StringType, T.CharType)
         if not (number or moment or a.type == b.type or isinstance(a.type, T.NullType) or isinstance(b.type, T.NullType) or isinstance(a.type, texts) and isinstance(b.type, texts)):
             raise EvalProblem(f"a {kind_name(a)} can't be compared with a {kind_name(b)}")
-        return a.col, b.col
+        return self._as_stored(a, b), self._as_stored(b, a)
+
+    @staticmethod
+    def _as_stored(a: Cell, other: Cell) -> Column:
+        """A moment written in the program, compared with times stored without a zone, which are UTC: the literal changes, not the column, so scans still take the filter."""
+        if isinstance(other.type, T.TimestampNTZType) and a.literal and isinstance(a.value, datetime):
+            return F.lit(a.value.astimezone(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
+        return a.col
 
     def _arithmetic(self, op: str, a: Cell, b: Cell, free: bool) -> Cell:
         text = (T.StringType, T.CharType)

@@ -247,3 +247,19 @@ def test_filters_reach_the_scan(engine, tmp_path):
     engine.spark.range(100).selectExpr("id as a", "id as b").write.parquet(f"{tmp_path}/t.parquet")
     plan = engine.eval_text(f"read(`{tmp_path}/t.parquet`) | filter(&a>5) | map({{&a}})")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(GreaterThan(a,5),IsNull(a))]" in plan and "ReadSchema: struct<a:bigint>" in plan
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_without_a_zone_are_utc(engine, tmp_path, zone):
+    spark = engine.spark
+    spark.sql("select timestamp_ntz'1996-06-01 00:30:00' as t, 1 as n union all select timestamp_ntz'1969-12-31 23:59:59.5', 2").write.parquet(f"{tmp_path}/t.parquet")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = engine.eval_text(f"read(`{tmp_path}/t.parquet`) | filter(&t > 1996-06-01T00:00:00Z) | map({{&n, s: int(&t)}})")
+        assert [tuple(r) for r in df.collect()] == [(1, 833589000)]
+        assert "GreaterThan(t,1996-06-01T00:00)" in df._jdf.queryExecution().executedPlan().toString()
+        assert engine.eval_text(f"(read(`{tmp_path}/t.parquet`) | filter(&n == 2) | map({{f: float(&t)}}) | pick(true)).f") == -0.5
+        assert engine.eval_text(f"read(`{tmp_path}/t.parquet`) | filter(&t <= 1996-05-31T20:30:00-0400) | count()") == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

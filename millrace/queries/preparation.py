@@ -43,7 +43,7 @@ def p5_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return load_findings(p5_profile(spark, folder), "instrument", "load_no")
+    return load_findings(p5_profile(spark, folder), "instrument", "load_no").select("instrument", "load_no", "column_name", "finding")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_typed_small, p2_typed_conta, p4_found, p5_found, p5_profile)}

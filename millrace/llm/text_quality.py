@@ -373,8 +373,9 @@ class Judge:
 
 # ---------------------------------------------------------------- learning of the languages' prose
 
-#: Words of a language that are kept, and the share of its lines of prose in which a word must occur, at least in FEWEST of them.
-LEXICON, RARE, FEWEST = 30_000, 5e-5, 3
+#: Share of a language's lines of prose in which a word must occur to be known, at least in FEWEST lines: in fewer, a text would vouch for its own words.
+#: The share bounds the words known: no more than the mean words of a line / RARE.
+RARE, FEWEST = 5e-5, 3
 #: A line teaches if it has so many words, such a share of function words, and ends a sentence.
 TEACH_WORDS, TEACH_SHARE = 6, 0.12
 
@@ -419,8 +420,8 @@ def _teach(batches: Iterator[pa.RecordBatch], function: dict[str, list[str]]) ->
 def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) -> dict[str, Language]:
     """Prose profiles of languages, from all texts: which classes of tokens their prose has, and the words that occur in it.
 
-    ``function`` has the function words of each language. Counts are made in the tasks that read the texts and summed by key; the driver gets the
-    words above a share of the lines, at most LEXICON a language.
+    ``function`` has the function words of each language. Counts are made in the tasks that read the texts and summed by key; the driver gets all
+    words that occur in the share RARE of the lines and in FEWEST of them; below FEWEST / RARE = 60,000 lines the latter asks for more.
     """
     src = df.select(df[text].cast("string").alias("_text")).where(F.col("_text").isNotNull())
     counts = src.mapInArrow(partial(_teach, function=function), "lang string, kind string, item string, weight double")
@@ -430,10 +431,11 @@ def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) ->
         base = counts.where("kind = 'rest'").collect()
         lines = {r["lang"]: r["weight"] for r in base if r["item"] == "lines"}
         words: dict[str, list[str]] = {}
+        least = F.lit(None).cast("double")
         for name, n in lines.items():
-            least = max(FEWEST, RARE * n)
-            own = counts.where((F.col("kind") == "word") & (F.col("lang") == name) & (F.col("weight") >= least))
-            words[name] = [r["item"] for r in own.orderBy(F.desc("weight"), "item").limit(LEXICON).collect()]
+            least = F.when(F.col("lang") == name, max(FEWEST, RARE * n)).otherwise(least)
+        for r in counts.where((F.col("kind") == "word") & (F.col("weight") >= least)).select("lang", "item").collect():
+            words.setdefault(r["lang"], []).append(r["item"])
     finally:
         counts.unpersist()
     out = {}

@@ -30,6 +30,13 @@ def test_learning(languages):
     assert 0.2 < share < 0.7 and languages["ja"].prose["F"] > 0
 
 
+def test_lexicon_has_every_word_above_the_share(spark):
+    words = ["w" + "".join(chr(97 + int(c)) for c in str(k)) for k in range(35_000)]
+    rows = [(i, "It is " + " ".join(f"the {w}" for w in words[700 * i : 700 * i + 700]) + ".") for i in range(50)]
+    known = learn_languages(spark.createDataFrame(rows * 3, "id long, text string"), "text", FUNCTION)["en"].words
+    assert set(words) <= known
+
+
 @pytest.mark.parametrize(
     ("text", "form"),
     [

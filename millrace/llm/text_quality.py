@@ -260,6 +260,42 @@ def repeated_share(words: list[str]) -> float:
     return 1 - len(set(runs)) / len(runs) if runs else 0.0
 
 
+#: Of texts in words, and of texts mostly in characters: tokens of a run, tokens back that are near, and tokens from which a text can say the same over and over.
+OVER = {False: (3, 300, 8), True: (9, 900, 10)}
+#: Share of the tokens from which on they are said again: four rounds of the same.
+OVER_SHARE = 0.75
+
+
+def fresh_runs(words: list[str], run: int, near: int) -> int:
+    """How many runs of words weren't said before: neither among the last ``near`` runs nor, for rounds longer than that, the same number of runs before as most."""
+    runs = list(zip(*(words[i:] for i in range(run))))
+    last: dict = {}
+    far: Counter = Counter()
+    said = [False] * len(runs)
+    for i, r in enumerate(runs):
+        back = i - last.get(r, i)
+        if back > near:
+            far[back] += 1
+        else:
+            said[i] = back > 0
+        last[r] = i
+    if far:
+        round_ = far.most_common(1)[0][0]
+        for i in range(round_, len(runs)):
+            said[i] = said[i] or runs[i] == runs[i - round_]
+    return len(runs) - sum(said)
+
+
+def says_again(words: list[str]) -> bool:
+    """Whether a text says the same over and over, in four rounds or more. Only what is near, or comes in rounds, counts, so that
+    prose of any length, which says many a thing again, doesn't."""
+    n = len(words)
+    if n < OVER[False][2] or n <= OVER[False][1] and (len(set(words)) - OVER[True][0]) > (1 - OVER_SHARE) * n:
+        return False  # the latter: each word but a few begins a fresh run
+    run, near, least = OVER[sum([len(w) == 1 and ("\u3040" <= w <= "\u30ff" or "\u3400" <= w <= "\u9fff") for w in words]) * 2 > n]
+    return n >= least and fresh_runs(words, min(run, n // 3), near) <= (1 - OVER_SHARE) * n
+
+
 class Voices:
     """Which languages a word speaks for: twice for a function word, once for a known word."""
 
@@ -300,8 +336,8 @@ class Voices:
 PRIOR = 3.0
 #: Texts of less weight are never junk: there is too little to tell.
 LEAST_JUNK = 4.0
-#: Words from which, and share of repeated runs above which, a text says the same over and over.
-OVER_WORDS, OVER_SHARE = 10, 0.75
+#: Words of a line that is too long for an item of a list.
+LONG_LINE = 10
 
 
 class Judge:
@@ -364,9 +400,9 @@ class Judge:
         form = max(found, key=lambda f: (found[f], f == "table", f == "list")) if off * 2 > len(lines) else "prose"
         if form == "junk" and sum(sum(w.values()) for w in weights) < LEAST_JUNK:
             form = "prose"
-        if form in ("prose", "list") and len(words) >= OVER_WORDS and repeated_share(words) > OVER_SHARE:
+        if form in ("prose", "list") and says_again(words):
             marked = sum(w["B"] > 0 for w in weights) * 2 > len(lines)
-            if form == "prose" or not marked and max(len(_words(x)) for x in lines) >= OVER_WORDS:
+            if form == "prose" or not marked and max(len(_words(x)) for x in lines) >= LONG_LINE:
                 form, off = "junk", len(lines)
         return form, len(lines), off, float(away[:, 0].mean()), float(away[:, 1:].min(1).mean())
 
@@ -401,7 +437,7 @@ def _teach(batches: Iterator[pa.RecordBatch], function: dict[str, list[str]]) ->
                 if len(words) < TEACH_WORDS or not _SENTENCE.search(line) or _MARK.match(line) or _divider(line)[0]:
                     continue
                 name = voices.best(words)
-                if name is None or repeated_share(words) > OVER_SHARE:
+                if name is None or says_again(words):
                     continue
                 function = languages[name].function
                 if sum([w in function for w in words]) < TEACH_SHARE * len(words):
@@ -463,7 +499,8 @@ def text_forms(df: DataFrame, text: str, keep: list[str], function: dict[str, li
 
     The tokens of each line fall into classes (CLASSES). The line belongs to the profile whose distribution of classes is nearest by Jensen-Shannon divergence: the prose of
     the text's language, learnt from all texts (:func:`learn_languages`), or one of STRUCTURES. A text of which more than half of the lines that aren't blank are nearest to other
-    structures has the most frequent of their forms, ``list``, ``table`` or ``junk``; all others are ``prose``. A text that says the same over and over is ``junk``.
+    structures has the most frequent of their forms, ``list``, ``table`` or ``junk``; all others are ``prose``. A text that says the same over and over (:func:`says_again`: four rounds, whatever
+    its length) is ``junk``.
 
     Defined cases: null, empty and blank texts are ``blank``; texts are read whole, whatever their length; repeated rows are judged alike; other columns are ignored.
     """

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.text_quality import CLASSES, Judge, Language, Voices, _divergence, learn_languages, repeated_share, text_counts, text_forms
+from millrace.llm.text_quality import CLASSES, Judge, Language, Voices, _divergence, learn_languages, repeated_share, says_again, text_counts, text_forms
 
 FUNCTION = {"en": ["the", "of", "and", "to", "a", "in", "is", "it", "for", "was", "on", "with", "my", "i", "not", "but", "at"], "de": ["der", "die", "das", "und", "ist", "ich", "nicht", "ein", "mit", "es"], "ja": ["の", "に", "は", "を", "が", "で", "と", "も", "です"]}
 PROSE = [
@@ -55,6 +55,18 @@ def test_forms(languages, text, form):
     assert Judge(languages)(text)[0] == form
 
 
+def test_repetition_does_not_depend_on_length(languages):
+    judge, rng = Judge(languages), random.Random(3)
+    things, ends = "箱 色 音 蓋 紐 袋 靴 傘 鍋 皿 棚 鏡".split(), ["はとても気に入っています。", "は写真より少し暗いです。", "がしっかりしていて安心です。", "の重さはちょうど良いです。", "は別売りなので注意が必要です。", "を毎日台所で使っています。"]
+    sentences = [f"{a}と{b}{e}" for a in things for b in things if a != b for e in ends]
+    long = "".join(rng.choice(sentences) for _ in range(2000))
+    assert judge(long)[0] == "prose" and repeated_share(list(long)) > 0.9
+    for text in ("The lid is on the box. " * 4, "so good " * 5, "good " * 9, "とても" * 4):
+        assert judge(text)[0] == "junk"
+    rounds = [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(500)]
+    assert says_again(rounds * 4) and not says_again(rounds * 3) and not says_again("no no no no".split())
+
+
 def test_rows(spark, languages):
     rows = [(1, PROSE[0], "x"), (2, "- a\n- b\n- c", "x"), (2, "- a\n- b\n- c", "x"), (None, None, "x"), (3, "", "x"), (4, "word " * 100_000, "x")]
     df = spark.createDataFrame(rows, "id long, text string, form string")

@@ -8,7 +8,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +112,13 @@ SHORT, LISTED = 5, 5.0
 REMEMBERED = 50_000
 
 
+@lru_cache(REMEMBERED)
+def script(letter: str) -> str:
+    """The script of a letter, as Unicode's name of the letter begins; one for all of Japanese."""
+    name = unicodedata.name(letter, "").partition(" ")[0]
+    return "CJK" if name in ("HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "IDEOGRAPHIC") else name
+
+
 @dataclass
 class Language:
     """What is known of a language: its function words, its words in prose, and the classes of its prose."""
@@ -119,6 +126,8 @@ class Language:
     function: frozenset = frozenset()
     words: frozenset = frozenset()
     prose: dict = field(default_factory=lambda: dict(PLAIN_PROSE))
+    #: Where given, words of other scripts than these count as known, by their length where they are endless.
+    scripts: frozenset | None = None
     pieces: dict = field(default_factory=dict, repr=False, compare=False)
 
     def word(self, token: str) -> tuple[str, float]:
@@ -130,6 +139,8 @@ class Language:
             return "F", 1.0
         if low in self.words:
             return "K", 1.0
+        if self.scripts is not None and script(token[0]) not in self.scripts:
+            return "U" if _shape(token[:28]) else "K", max(1.0, len(token) / 6)
         return ("U", max(1.0, len(token) / 6)) if _shape(token) else ("X", 1.0)
 
 
@@ -334,6 +345,8 @@ class Voices:
 
 #: Tokens' worth of prose that is added to a line, so that a word or two decide nothing.
 PRIOR = 3.0
+#: The name of what is written in a script of no known language.
+FOREIGN = "\0foreign"
 #: Texts of less weight are never junk: there is too little to tell.
 LEAST_JUNK = 4.0
 #: Words of a line that is too long for an item of a list.
@@ -346,9 +359,16 @@ class Judge:
     def __init__(self, languages: dict[str, Language]) -> None:
         self.languages, self.voices = languages, Voices(languages)
         self.any = Language(frozenset(), frozenset().union(*(x.words for x in languages.values())))
+        self.scripts = frozenset({"CJK", *(script(w[0]) for x in languages.values() for w in x.function if w)})
+        self.foreign = Language(frozenset(), self.any.words, scripts=self.scripts)
         self.forms = [f for f, profiles in STRUCTURES.items() for _ in profiles]
         others = [_vector(p) for profiles in STRUCTURES.values() for p in profiles]
-        self.profiles = {name: np.vstack([_vector(x.prose), *others]) for name, x in [*languages.items(), (None, self.any)]}
+        self.profiles = {name: np.vstack([_vector(x.prose), *others]) for name, x in [*languages.items(), (None, self.any), (FOREIGN, self.foreign)]}
+
+    def is_foreign(self, words: list[str]) -> bool:
+        """Whether more than half of the words are in one script that no known language has."""
+        found = Counter([x for x in map(script, [w[0] for w in words]) if x not in self.scripts])
+        return bool(found) and max(found.values()) * 2 > len(words)
 
     def __call__(self, text: str | None) -> tuple[str, int, int, float, float]:
         """The form of a text: ``prose``, ``list``, ``table``, ``junk`` or ``blank``; lines, lines that aren't prose, and the mean divergence of its
@@ -365,8 +385,14 @@ class Judge:
             if not lines:
                 continue
             words = self.voices.words(text)
-            name = self.voices.best(words)
-            weights = self.weigh(lines, self.languages.get(name, self.any))
+            if not text.isascii() and self.is_foreign(words):
+                # Marks are parts of words, but not in the pattern of tokens.
+                name, own = FOREIGN, self.foreign
+                lines = ["".join([c for c in x if unicodedata.category(c)[0] != "M"]) for x in lines]
+            else:
+                name = self.voices.best(words)
+                own = self.languages.get(name, self.any)
+            weights = self.weigh(lines, own)
             read.append((i, name, len(rows[name]), lines, words, weights))
             rows[name] += [list(w.values()) for w in weights]
         away = {}
@@ -502,6 +528,10 @@ def text_forms(df: DataFrame, text: str, keep: list[str], function: dict[str, li
     structures has the most frequent of their forms, ``list``, ``table`` or ``junk``; all others are ``prose``. A text that says the same over and over (:func:`says_again`: four rounds, whatever
     its length) is ``junk``.
 
+    A text in a script that no language of ``function`` has (Greek or Korean, where they aren't there) is judged by its shape alone: lists, tables, symbols, mixtures of letters
+    and digits and repetition are seen, its words count as known. A language without function words in a script that another has (Polish beside English) can't be told from
+    made-up words; its texts may come out as ``junk``, so its function words have to be given.
+
     Defined cases: null, empty and blank texts are ``blank``; texts are read whole, whatever their length; repeated rows are judged alike; other columns are ignored.
     """
     languages = learn_languages(df, text, function) if languages is None else languages

@@ -67,6 +67,18 @@ def test_repetition_does_not_depend_on_length(languages):
     assert says_again(rounds * 4) and not says_again(rounds * 3) and not says_again("no no no no".split())
 
 
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [
+        ("Το καπάκι του βραστήρα είναι γερό και μου αρέσει πολύ. Το αγόρασα για την αδελφή μου.", "prose"), ("뚜껑이 튼튼하고 사용하기 편해서 매우 만족합니다. 색상도 사진과 같습니다.", "prose"),
+        ("ढक्कन मजबूत है और मुझे यह बहुत पसंद है। रंग भी अच्छा है।", "prose"), ("ฝากาต้มน้ำแข็งแรงมากและใช้งานง่ายฉันชอบสินค้านี้มาก", "prose"), ("뚜껑이 튼튼하고 the 사용하기 편해서 매우 만족합니다", "prose"),
+        ("- ελαφρύ\n- αθόρυβο μοτέρ\n- φτηνό", "list"), ("뚜껑;4;70\n상자;-;12\n색상;5;9", "table"), ("정말 좋아요 " * 9, "junk"), ("βγ5δκ8 λ3μν9π ρ7στ2υ φ1χψ4ω", "junk"),
+    ],
+)
+def test_scripts_of_no_known_language(languages, text, form):
+    assert Judge(languages)(text)[0] == form
+
+
 def test_rows(spark, languages):
     rows = [(1, PROSE[0], "x"), (2, "- a\n- b\n- c", "x"), (2, "- a\n- b\n- c", "x"), (None, None, "x"), (3, "", "x"), (4, "word " * 100_000, "x")]
     df = spark.createDataFrame(rows, "id long, text string, form string")

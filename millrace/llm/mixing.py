@@ -19,6 +19,10 @@ SHARD_TOKENS, FEWEST_SHARDS, MOST_SHARDS = 50_000_000, 16, 4_096
 MOST_TARGETS = 1_000
 
 
+#: Equal rows that are written out by one task.
+COPIES = 10_000
+
+
 @dataclass(frozen=True)
 class _Quota:
     source: str
@@ -51,9 +55,20 @@ def split_blocks(blocks: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Number equal rows from 0 in ``_copy``, so that each has a place of its own. Equal rows are counted and written out again, which is the same
+    whatever the order and partitions of the rows; many of one kind are written by several tasks."""
+    kind = ["_id", "_source", "_n"]
+    same = rows.groupBy(*kind).agg(F.count("*").alias("_c"))
+    few = same.where(F.col("_c") <= COPIES).select(*kind, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)).alias("_copy"))
+    parts = same.where(F.col("_c") > COPIES).select(*kind, "_c", F.explode(F.expr(f"sequence(0L, _c - 1, {COPIES}L)")).alias("_first")).repartition(*kind, "_first")
+    many = parts.select(*kind, F.explode(F.sequence("_first", F.least(F.col("_first") + COPIES, "_c") - 1)).alias("_copy"))
+    return few.unionByName(many)
+
+
 def _order(seed: int, round_no: Column | int) -> Column:
-    """The place of a record in the permutation of a round: 63 bits that depend on the record, the round and the seed."""
-    return F.xxhash64("_id", F.lit(seed), F.lit(round_no) if isinstance(round_no, int) else round_no).bitwiseAND(F.lit(2**63 - 1))
+    """The place of a record in the permutation of a round: 63 bits that depend on the record, the round and the seed. Records of equal ids differ by tokens or number."""
+    return F.xxhash64("_id", "_n", "_copy", F.lit(seed), F.lit(round_no) if isinstance(round_no, int) else round_no).bitwiseAND(F.lit(2**63 - 1))
 
 
 def _quotas(spark: SparkSession, sized: DataFrame, targets: list, total: int | None) -> list[_Quota]:
@@ -143,17 +158,17 @@ def mix_sources(
 
     The records of a round are permuted by a keyed hash whose leading bits are the record's block. A splitting tree (:func:`split_blocks`) deals exact numbers of
     blocks of each source to the shards, each source's blocks are dealt in random order and none twice, and a shard is shuffled locally by hash. So the
-    only shuffle of records is the one that brings shards together, and the same seed gives the same mix.
+    only shuffles of records are one that numbers equal rows and the one that brings shards together, and the same seed gives the same mix.
 
     Defined cases: records of a null or untargeted source are left out and reported; null counts of tokens are 0; records without tokens may be drawn; null or repeated
-    record ids are records of their own that share their place; an empty table gives no draws; source names are compared as they are.
+    record ids are records of their own, each with its own place; an empty table gives no draws; source names are compared as they are.
     """
     spark = df.sparkSession
     wanted = targets.select(F.col("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats")).where("source is not null").limit(MOST_TARGETS + 1).collect()
     if len(wanted) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
     wanted = sorted(wanted)
-    src = cut(df.select(df[record].alias("_id"), df[source].alias("_source"), F.coalesce(df[tokens].cast("long"), F.lit(0)).alias("_n")))
+    src = cut(_numbered(df.select(df[record].alias("_id"), df[source].alias("_source"), F.coalesce(df[tokens].cast("long"), F.lit(0)).alias("_n"))))
     quotas = _quotas(spark, src, wanted, total_tokens)
     ends = _thresholds(src, quotas, seed)
     if shards is None:

@@ -75,6 +75,18 @@ def test_partial_round_is_a_random_part(spark):
     assert abs(len(ids) - 2500) <= 1 and abs(np.mean(ids) - 10_000) < 500
 
 
+def test_equal_ids_have_places_of_their_own(spark, monkeypatch):
+    """A third of the ids null and a third equal: the share is still met to one record, and the records spread over the shards."""
+    monkeypatch.setattr("millrace.llm.mixing.COPIES", 300)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "a", 1 + i % 2, 0, 0) for i in range(6000)] + [(i, "b", 1, 0, 0) for i in range(10_000, 12_000)]
+    a, b = (mixed(spark, x, [("a", 0.6, 1), ("b", 0.4, 1)]) for x in (rows, rows[::-1]))
+    draws = a.draws.collect()
+    assert abs(sum(d.n_tokens for d in draws if d.source == "a") - 3000) <= 2
+    for same in (None, 7):
+        assert len({d.shard for d in draws if d.source == "a" and d.id == same}) == 16
+    assert sorted(map(str, draws)) == sorted(map(str, b.draws.collect()))
+
+
 def test_split_blocks():
     rng = random.Random(0)
     for shards in (1, 2, 7, 64):

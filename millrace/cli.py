@@ -6,8 +6,9 @@ import argparse
 import contextlib
 import re
 import sys
+from collections.abc import Iterator
 
-from millrace.plans.engine import BUILTINS, PRINTED, Engine, EvalProblem, table_text, text_of
+from millrace.plans.engine import BUILTINS, Engine, EvalProblem, table_lines, text_of
 from millrace.plans.syntax import SyntaxProblem
 from millrace.plans.usage import USAGE
 from millrace.plans.values import Table, table_of
@@ -25,11 +26,13 @@ def argument(text: str) -> bool | int | float | str:
     return text
 
 
-def show(engine: Engine, v: object) -> str:
+def show(engine: Engine, v: object) -> Iterator[str]:
+    """What a value looks like, line by line; all rows of a table."""
     if isinstance(v, Table):
-        return "\n".join(table_text(v.df, PRINTED))
-    out = engine.outside(v)
-    return "\n".join(map(str, out)) if isinstance(out, list) else text_of(out)
+        yield from table_lines(v.df)
+    else:
+        out = engine.outside(v)
+        yield from map(str, out) if isinstance(out, list) else [text_of(out)]
 
 
 def help_text(name: str = "") -> str:
@@ -60,12 +63,13 @@ def prompt(engine: Engine, read=input, write=print) -> None:  # noqa: ANN001
         to = re.search(r"\s(>>?)\s*([\w./-]+\.\w+)\s*$", text)
         try:
             v = engine.run(text[: to.start()] if to else text)
-            shown = show(engine, v) if v is not None else ""
+            shown = show(engine, v) if v is not None else []
             if to:
                 with open(to[2], "a" if to[1] == ">>" else "w") as f:
-                    f.write(shown + "\n")
+                    f.writelines(line + "\n" for line in shown)
             else:
-                write(shown)
+                for line in shown:
+                    write(line)
         except SyntaxProblem as e:
             if e.incomplete:
                 text += "\n"
@@ -109,7 +113,8 @@ def main(argv: list[str] | None = None) -> int:
         df = v.df if isinstance(v, Table) else table_of(engine.spark.createDataFrame([(engine.outside(v),)], "_ string")).df
         registry.write(df, options.output, overwrite=options.overwrite)
     else:
-        print(show(engine, v))
+        for line in show(engine, v):
+            print(line)
     return 0
 
 

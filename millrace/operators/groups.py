@@ -23,27 +23,35 @@ NATIVE: dict[str, Callable[[Column], Column]] = {
 }
 #: Parts of a group that are folded apart before their results are.
 PARTS = 64
+#: Rows are folded in runs of 4,096 neighbours (as bits), then the results of all runs of a task.
+RUNS = (12, 33)
 
 
 def fold(df: DataFrame, key: Column, value: Column, how: str | Callable[[Column, Column], Column], parts: int = PARTS) -> DataFrame:
     """Fold the values of each key: columns ``key`` and ``value``. A missing key is a key.
 
-    ``how`` is the name of a native fold, or a function of two columns that is associative and commutative. Such a function is applied within ``parts`` parts
-    of each key first, then over their results, so a key with a third of all rows is spread over as many tasks.
+    ``how`` is the name of a native fold, or a function of two columns that is associative and commutative. Such a function is applied within ``parts`` parts of each
+    key first, then over their results, so a key with a third of all rows is spread over as many tasks. Within a part the values of neighbouring rows are folded, then
+    the results of a task's runs (RUNS), then those of tasks, so no list is longer than 4,096 values, a task's rows / 4,096, or the tasks of the input. Two shuffles in all: of the
+    rows' keys and values, and of one result for each key and part.
     """
     rows = df.select(key.alias("key"), value.alias("value"))
     if isinstance(how, str):
         agg = _missing_is_greatest(how)
         return rows.groupBy("key").agg(agg(F.col("value")).alias("value"))
 
-    def folded(grouped: DataFrame, *by: str) -> DataFrame:
-        listed = grouped.groupBy(*by).agg(F.collect_list(F.struct("value")).alias("__l"))
+    def folded(grouped: DataFrame, *by: str, also: str | None = None) -> DataFrame:
+        more = [F.min(also).alias(also)] if also else []
+        listed = grouped.groupBy(*by).agg(F.collect_list(F.struct("value")).alias("__l"), *more)
         rest = F.slice("__l", 2, F.size("__l"))
         out = F.aggregate(F.transform(rest, lambda s: s["value"]), F.get("__l", F.lit(0))["value"], how)
-        return listed.select(*by, out.alias("value"))
+        return listed.select(*by, out.alias("value"), *([also] if also else []))
 
-    split = rows.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
-    return folded(folded(split, "key", "__part"), "key")
+    run = F.shiftright("__at", RUNS[0])
+    out = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.pmod(F.xxhash64(run), F.lit(parts))).repartition("key", "__part")
+    for shift in RUNS:
+        out = folded(out.withColumn("__run", F.shiftright("__at", shift)), "key", "__part", "__run", also="__at").drop("__run")
+    return folded(folded(out, "key", "__part"), "key")
 
 
 def _missing_is_greatest(how: str) -> Callable[[Column], Column]:
@@ -52,6 +60,14 @@ def _missing_is_greatest(how: str) -> Callable[[Column], Column]:
     return NATIVE[how]
 
 
+def folded_where(how: str, value: Column, where: Column) -> Column:
+    """A native fold of the values for which a condition holds, as an aggregate of all rows."""
+    own = F.when(where, value)
+    if how == "max":
+        return F.when(F.count_if(where & value.isNull()) == 0, F.max(own))
+    return NATIVE[how](own) if how != "first" else F.first(own, ignorenulls=True)
+
+
 def group_rows(df: DataFrame, key: Column, value: Column | None = None) -> DataFrame:
     """``key`` and ``value``, the list of the key's rows (or values) in the order of the table.
 

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The spellings of a missing value.
-NA_SPELLINGS = ("", "NA", "#N/A", "#N/A N/A", "#NA", "N/A", "NULL", "NaN", "nan", "-NaN", "-nan", "-1.#IND", "-1.#QNAN")
+from millrace.sources.tsv import NA_SPELLINGS
 
 #: How a kind of column reads: the Spark type and the pattern a cell must match as a whole. ``\z``, unlike ``$``, isn't satisfied before a final line break.
 KINDS = {

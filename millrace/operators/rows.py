@@ -55,6 +55,20 @@ def _is_order(k: Column) -> bool:
     return " ASC NULLS " in text or " DESC NULLS " in text
 
 
+#: Nodes of plans that give the same rows in the same partitions each time, and cost no more than reading.
+_SCANS = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether a table is only read, projected and filtered, by built-in functions."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in _SCANS:
+        if "monotonically_increasing_id" in plan.simpleString(10_000) or not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.children().isEmpty()
+
+
 def row_struct(df: DataFrame) -> Column:
     """A row as one value."""
     return F.col(VALUE) if df.columns == [VALUE] else F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
@@ -45,7 +46,7 @@ class Engine:
         self.spark, self.overwrite, self.compat_na_join = spark, overwrite, compat_na_join
         self.globals: dict[str, Any] = {}
         self.extra: dict[str, Callable] = {}
-        self.printed: list[str] = []
+        self.out: Callable[[str], None] = print
         self.run(PRELUDE)
         self.prelude = dict(self.globals)
 
@@ -485,6 +486,8 @@ def _items(c: Cell) -> tuple[Column, T.DataType]:
 
 
 def _whole(a: Arguments, v: Any) -> Table:
+    if isinstance(v, GroupOf):
+        raise GroupNeeded
     if isinstance(v, Table):
         return v
     if isinstance(v, Cell) and v.free and isinstance(v.type, T.ArrayType):
@@ -555,7 +558,11 @@ def _map(a: Arguments, outputs: list[int | str], where: int | str | None) -> Any
             return done
         return _map_table(a, v, outputs, where)
     if isinstance(v, GroupOf):
-        raise GroupNeeded
+        if len(outputs) > 1:
+            raise GroupNeeded
+        if where is not None:
+            v = replace(v, where=v.holds(to_cell(a.per_row(where, v.item)).col))
+        return replace(v, value=to_cell(a.per_row(outputs[0], v.item))) if outputs else v
     if not _is_cell_table(v):
         raise EvalProblem(f"{a.name} takes a table, not a {kind_name(v)}")
     items, kind = _items(v)
@@ -596,6 +603,11 @@ def _firstn(a: Arguments) -> Any:
 @builtin("pick", 2, 2, ("row",))
 def _pick(a: Arguments) -> Any:
     v = a.value(0)
+    if isinstance(v, GroupOf):
+        if v.order is None:
+            raise GroupNeeded
+        item, holds = to_cell(v.item), v.holds(to_cell(a.per_row(1, v.item)).col)
+        return v.aggregate(F.min_by(item.col, F.when(holds, F.struct(*v.order))), item.type)
     if _is_cell_table(v) and not v.free:
         items, kind = _items(v)
         return Cell(F.get(F.filter(items, lambda x: F.coalesce(to_cell(a.per_row(1, Cell(x, kind))).col, F.lit(False))), F.lit(0)), kind)
@@ -610,7 +622,7 @@ def _pick(a: Arguments) -> Any:
 def _count(a: Arguments) -> Cell:
     v = a.value(0)
     if isinstance(v, GroupOf):
-        return v.aggregate(F.count("*"), LONG)
+        return v.aggregate(F.count("*") if v.where is None else F.count_if(v.holds()), LONG)
     if isinstance(v, Tables):
         return literal(len(v.items))
     if _is_cell_table(v):
@@ -623,8 +635,32 @@ def _sort_keys(v: Any) -> list[Column]:
     return [nulls.descending(to_cell(p.down).col) if isinstance(p, Cell) and p.down is not None else nulls.ascending(to_cell(p).col) for p in parts]
 
 
+def _rising(v: Any) -> list[Column]:
+    """Columns by which the smallest struct is the first row: missing values last, or first under a descending key."""
+    out: list[Column] = []
+    for p in v.fields.values() if isinstance(v, Row) else [v]:
+        if not (isinstance(p, Cell) and p.down is not None):
+            k = to_cell(p).col
+            out += [k.isNull(), k]
+            continue
+        k, kind = p.down.col, p.down.type
+        if isinstance(kind, T.IntegralType):
+            out += [k.isNotNull(), F.bitwise_not(k)]
+        elif isinstance(kind, T.FractionalType):
+            out += [k.isNotNull(), ~F.isnan(k), -k]
+        elif isinstance(kind, T.StringType):
+            out += [k.isNotNull(), scalar.negated_text(k)]
+        else:
+            raise GroupNeeded
+    return [c.alias(f"o{i}") for i, c in enumerate(out)]
+
+
 def _sorted(a: Arguments, n: int, key: int) -> Any:
     v = a.value(0)
+    if isinstance(v, GroupOf):
+        if n >= 0 or v.order is not None:
+            raise GroupNeeded
+        return replace(v, order=_rising(a.per_row(key, v.item)))
     if _is_cell_table(v) and not v.free:
         items, kind = _items(v)
         made = a.per_row(key, Cell(F.col("x"), kind))
@@ -733,10 +769,25 @@ def _keyed(a: Arguments, v: Cell) -> tuple[Column, Column, T.DataType, T.DataTyp
     return F.array_distinct(F.transform(pairs, lambda p: p["key"])), pairs, key, value
 
 
+def _reduce_group(a: Arguments, v: GroupOf) -> Cell:
+    """A fold of all rows of a group under one key: a table of one row, or none."""
+    key, value = to_cell(a.per_row(1, v.item)), to_cell(a.per_row("map", v.item) if "map" in a.named else v.item)
+    how = native_fold(_legacy(a, 2), value.type)
+    if not key.free or how is None:
+        raise GroupNeeded
+    if isinstance(how, dict):
+        total = F.struct(*[groups.folded_where(h, value.col.getField(n), v.holds()).alias(n) for n, h in how.items()])
+    else:
+        total = groups.folded_where(how, value.col, v.holds())
+    n, folded = v.aggregate(F.count_if(v.holds()), LONG), v.aggregate(total, value.type)
+    kind = T.ArrayType(T.StructType([T.StructField("key", key.type), T.StructField("value", value.type)]))
+    return Cell(F.when(n.col > 0, F.array(F.struct(key.col.alias("key"), folded.col.alias("value")))).otherwise(F.array().cast(kind)), kind)
+
+
 def _reduce_cell(a: Arguments, v: Any) -> Cell:
     """A fold of a table in a cell: the keys in turn, each with the fold of its values."""
     if isinstance(v, GroupOf):
-        raise GroupNeeded
+        return _reduce_group(a, v)
     keys, pairs, key, value = _keyed(a, v)
     f = _legacy(a, 2)
 
@@ -1013,7 +1064,7 @@ def _readdir(a: Arguments) -> Row:
 @builtin("write", 2, 2, ("shards", "type"))
 def _write(a: Arguments) -> Cell:
     t = _whole(a, a.value(0))
-    return literal(registry.write(t.df, a.constant(1), a.constant("type"), a.constant("shards", 1), a.engine.overwrite))
+    return literal(registry.write(t.df, a.constant(1), a.constant("type"), a.constant("shards"), a.engine.overwrite))
 
 
 @builtin("writecols", 2, 2, ("gzip",))
@@ -1041,10 +1092,6 @@ def _table_attrs(a: Arguments) -> Row:
     return Row({"name": literal(attrs.get("name", "")), "path": literal(attrs.get("path", ""))})
 
 
-#: Rows of a table that are printed.
-PRINTED = 1_000
-
-
 def text_of(v: Any, depth: int = 9) -> str:
     """A Python value in the language's notation."""
     from pyspark.sql import Row as SparkRow
@@ -1064,21 +1111,27 @@ def text_of(v: Any, depth: int = 9) -> str:
     return str(v)
 
 
-def table_text(df: DataFrame, limit: int | None = None, depth: int = 9) -> list[str]:
-    """The rows of a table in the language's notation; fields without a value are left out of structs with several layouts by the caller's choice, not here."""
-    found = (df if limit is None else df.limit(limit)).collect()
-    return [text_of(r[0] if df.columns == [VALUE] else r, depth) for r in found]
+def table_lines(df: DataFrame, depth: int = 9) -> Iterator[str]:
+    """All rows of a table in the language's notation, fetched one partition after the other."""
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        yield text_of(r[0] if df.columns == [VALUE] else r, depth)
+
+
+def table_text(df: DataFrame, depth: int = 9) -> list[str]:
+    """As :func:`table_lines`, for a table that the driver may hold."""
+    return [text_of(r[0] if df.columns == [VALUE] else r, depth) for r in df.collect()]
 
 
 @builtin("print", 1, MANY, ("depth", "mode"))
 def _print(a: Arguments) -> Cell:
+    """Every row of a table goes to the engine's ``out``."""
     mode, depth = a.constant("mode", "default"), a.constant("depth", 9)
     for i in range(len(a)):
         v = a.value(i)
         if isinstance(v, Table):
-            lines = [v.df.schema.simpleString()] if mode == "description" else table_text(v.df, PRINTED, depth)
+            lines = [v.df.schema.simpleString()] if mode == "description" else table_lines(v.df, depth)
         else:
             lines = [kind_name(v)] if mode == "description" else [text_of(a.engine.outside(v), depth)]
-        a.engine.printed += lines
-        print("\n".join(lines))
+        for line in lines:
+            a.engine.out(line)
     return literal(True)

@@ -89,11 +89,22 @@ class Builtin:
 
 @dataclass
 class GroupOf:
-    """The table of a group's rows, of which only aggregates have been asked for so far."""
+    """The table of a group's rows, of which only aggregates have been asked for so far: ``item`` is what a row of it is, ``where`` which rows are in it, ``order`` how it is sorted."""
 
     rows: Table
     value: Any
     wanted: dict[str, Column]
+    where: Column | None = None
+    order: list[Column] | None = None
+
+    @property
+    def item(self) -> Any:
+        return row_of(self.rows.df) if self.value is None else self.value
+
+    def holds(self, more: Column | None = None) -> Column:
+        """Whether a row is in the table; never null."""
+        parts = [F.coalesce(c, F.lit(False)) for c in (self.where, more) if c is not None]
+        return parts[0] & parts[1] if len(parts) == 2 else parts[0] if parts else F.lit(True)
 
     def aggregate(self, col: Column, kind: T.DataType) -> Cell:
         name = f"__agg{len(self.wanted)}"

@@ -16,7 +16,7 @@ class Format:
     name: str
     pattern: str
     read: Callable[[SparkSession, str], DataFrame]
-    write: Callable[[DataFrame, str, str, int], None] | None = None
+    write: Callable[[DataFrame, str, str, int | None], None] | None = None
 
 
 FORMATS: dict[str, Format] = {}
@@ -42,8 +42,8 @@ def read(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     return find(path, name).read(spark, path)
 
 
-def write(df: DataFrame, path: str, name: str | None = None, shards: int = 1, overwrite: bool = False) -> bool:
-    """Write a table; what exists is left alone unless ``overwrite``. True in either case."""
+def write(df: DataFrame, path: str, name: str | None = None, shards: int | None = None, overwrite: bool = False) -> bool:
+    """Write a table, a file for each partition or ``shards`` files; what exists is left alone unless ``overwrite``. True in either case."""
     form = find(path, name)
     if form.write is None:
         raise ValueError(f"{form.name} can't be written")
@@ -77,8 +77,8 @@ def list_files(spark: SparkSession, path: str) -> dict[str, str]:
     return dict(sorted(out.items(), key=lambda x: x[1]))
 
 
-def _write_parquet(df: DataFrame, path: str, mode: str, shards: int) -> None:
-    (df.repartition(shards) if shards > 1 else df).write.mode(mode).parquet(path)
+def _write_parquet(df: DataFrame, path: str, mode: str, shards: int | None) -> None:
+    (df if shards is None else df.repartition(shards)).write.mode(mode).parquet(path)
 
 
 def _read_alignments(spark: SparkSession, path: str) -> DataFrame:

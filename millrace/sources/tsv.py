@@ -74,30 +74,66 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def _raw_zst(spark: SparkSession, path: str) -> DataFrame:
-    """Files compressed with zstandard, for which Hadoop may lack a codec: each is decompressed as a stream by one Python worker."""
-
-    def lines(batches):  # noqa: ANN001, ANN202
-        import io
-
-        import pandas as pd
-        import zstandard
+def local_or_remote(path: str):  # noqa: ANN201
+    """A file system of Arrow and the path in it, for readers that run in Python workers."""
+    from urllib.parse import quote
+
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if path.startswith("file:") or "://" not in path:
+        return LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return FileSystem.from_uri(quote(path, safe=":/@%"))
+
+
+def _zst_records(batches):  # noqa: ANN001, ANN202
+    """The records of each file as lists of cells, the file's header first. A file is decompressed as a stream; quoted cells may hold line breaks."""
+    import csv
+    import io
+    import sys
+
+    import pandas as pd
+
+    csv.field_size_limit(sys.maxsize)
+    for pdf in batches:
+        for path in pdf["path"]:
+            files, at = local_or_remote(path)
+            with files.open_input_stream(at, compression="zstd") as raw:
+                text = io.TextIOWrapper(raw, "utf-8", newline="")
+                fresh = [True]
+
+                def lines():  # noqa: ANN202
+                    # Notes and blank lines are left out between records, not within a quoted cell.
+                    for line in text:
+                        if not fresh[0] or line.strip("\r\n ") and not line.startswith("#"):
+                            fresh[0] = False
+                            yield line
+
+                cells, first = [], True
+                for record in csv.reader(lines(), delimiter="\t"):
+                    fresh[0] = True
+                    cells.append((first, record))
+                    first = False
+                    if len(cells) == 10_000:
+                        yield pd.DataFrame(cells, columns=["head", "cells"])
+                        cells = []
+                if cells:
+                    yield pd.DataFrame(cells, columns=["head", "cells"])
 
-        for pdf in batches:
-            for content in pdf["content"]:
-                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True), "utf-8", newline="\n")
-                kept = (x.rstrip("\r\n") for x in text if x.strip() and not x.startswith("#"))
-                while part := [x for _, x in zip(range(10_000), kept)]:
-                    yield pd.DataFrame({"line": part})
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "line string")
-    head = rows.first()
+def _raw_zst(spark: SparkSession, path: str) -> DataFrame:
+    """Files compressed with zstandard, for which Hadoop may lack a codec: each is read as a stream by one Python worker. All files have the same header."""
+    found = spark.read.format("binaryFile").load(path).select("path")
+    records = found.mapInPandas(_zst_records, "head boolean, cells array<string>")
+    head = records.where("head").first()
     if head is None:
         return spark.createDataFrame([], "dummycol string")
-    names = head["line"].split("\t")
-    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
-    body = rows.where(F.col("line") != head["line"])
-    return body.select(F.from_csv("line", schema, {"sep": "\t", "mode": "FAILFAST"}).alias("r")).select("r.*")
+    names = head["cells"]
+    header = F.array(*[F.lit(n) for n in names])
+    wrong = F.raise_error(F.concat(F.lit("malformed record: "), F.array_join("cells", "\t", "")))
+    fits = F.when(F.when(F.col("head"), F.col("cells") == header).otherwise(F.size("cells") == len(names)), F.col("cells")).otherwise(wrong.cast("array<string>"))
+    # The check is a column of its own in front of the filter, so that it isn't skipped where no cell is asked for.
+    body = records.select("head", fits.alias("cells")).where(~F.col("head") & F.col("cells").isNotNull())
+    return body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def read_tsv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
@@ -124,28 +160,32 @@ def cell_text(x: Column, t: T.DataType) -> Column:
     return F.translate(F.when(x.isNull(), "NA").otherwise(to_string(x, t)), "\t\r\n", "   ")
 
 
-def write_tsv(df: DataFrame, path: str, mode: str, shards: int = 1, header: bool = True) -> None:
-    """Write ``shards`` files into the folder ``path``."""
-    text = df.select(*[cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+def write_tsv(df: DataFrame, path: str, mode: str, shards: int | None = None, header: bool = True) -> None:
+    """Write into the folder ``path``: a file for each partition of the table, in its order and without a shuffle, or ``shards`` files."""
+    src = df if shards is None else df.repartition(shards)  # before cells become text, which is wider
+    text = src.select(*[cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
     if not df.columns:
         text = df.sparkSession.createDataFrame([], "dummycol string")
-    out = text.coalesce(shards) if shards == 1 else text.repartition(shards)
-    out.write.mode(mode).csv(path, sep="\t", header=header, quote="", emptyValue="", nullValue="NA")
+    text.write.mode(mode).csv(path, sep="\t", header=header, quote="", emptyValue="", nullValue="NA")
 
 
 # The columns of a BED file.
-BED = "chrom string, start bigint, end bigint, featname string"
+BED = {"chrom": "string", "start": "int", "end": "int", "featname": "string"}
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
-    """A BED file: no header; files of three columns have a missing ``featname``. Further columns are dropped."""
-    return spark.read.csv(path, sep="\t", schema=BED, comment="#", mode="PERMISSIVE")
+    """A BED file: no header; files of three columns have a missing ``featname``. Further columns are dropped.
+
+    Cells read as in other tables: the spellings of a missing value are missing, and a bound that isn't a number is an error.
+    """
+    raw = spark.read.csv(path, sep="\t", schema=", ".join(f"{c} string" for c in BED), comment="#", mode="PERMISSIVE", quote='"', escape='"')
+    return raw.select(*[_typed(F.coalesce(F.col(c), F.lit("")), kind).alias(c) for c, kind in BED.items()])
 
 
 def write_columns(df: DataFrame, template: str, gzip: bool = False, mode: str = "overwrite") -> list[str]:
     """One table of a single column for each column. ``template`` is a path with ``{{.Name}}`` or ``{{.Number}}`` (from 0). Gives the paths.
 
-    The table is cached for the passes over its columns.
+    Each is a folder with a file for each partition of the table, so no column meets in one task. The table is cached for the passes over its columns.
     """
     if not re.search(r"\{\{\s*\.(Name|Number)\s*\}\}", template):
         raise ValueError("the path needs {{.Name}} or {{.Number}}")
@@ -156,7 +196,7 @@ def write_columns(df: DataFrame, template: str, gzip: bool = False, mode: str =
             path = re.sub(r"\{\{\s*\.Name\s*\}\}", lambda _: name, template)
             path = re.sub(r"\{\{\s*\.Number\s*\}\}", str(i), path) + ".gz" * gzip
             text = cached.select(cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name))
-            text.coalesce(1).write.mode(mode).csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="NA", compression="gzip" if gzip else "none")
+            text.write.mode(mode).csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="NA", compression="gzip" if gzip else "none")
             paths.append(path)
     finally:
         cached.unpersist()

@@ -140,6 +140,12 @@ def test_reduce_and_cogroup(engine):
     assert sorted(table_text(fused)) == ["{key:{i:0},count:2}", "{key:{i:1},count:2}", "{key:{i:3},count:1}"]
     assert "collect_list" not in fused._jdf.queryExecution().toString()
     assert rows(engine, "T | cogroup(&i) | map({&key, s: &value | map(&s)})", False)[0] == "{key:0,s:[a,d]}"
+    deep = engine.eval_text("""T | cogroup(&i) | map({&key, n: &value | filter(&s > `a`) | count(), last: (sort(&value, -&s) | pick(true)).s, some: sort(&value, &s) | map(&s) | pick(_ > `b`),
+      total: (reduce(&value, 0, |a,b|a+b, map:=string_len(&s)) | pick(true)).value, most: reduce(&value | filter(&s > `d`), 1, |a,b|max(a,b), map:=&s)})""")
+    assert sorted(table_text(deep)) == [
+        "{key:0,n:1,last:d,some:d,total:2,most:[]}", "{key:1,n:2,last:e,some:e,total:2,most:[{key:1,value:e}]}", "{key:3,n:1,last:c,some:c,total:1,most:[]}",
+    ]
+    assert "collect_list" not in deep._jdf.queryExecution().toString()
 
 
 def test_joins(engine):
@@ -216,7 +222,8 @@ def test_files(engine, tmp_path):
     assert rows(engine, f"read(`{tmp_path}/col-B-1.tsv`)") == ["{B:/a}", "{B:s3://a}", "{B:s3://a}"]
     assert "data_tsv" in engine.eval_text(f"readdir(`{tmp_path}`)").asDict()
     assert engine.eval_text("force(D) | count()") == 3
-    assert engine.eval_text("print(D, mode:=`compact`)") is True and engine.printed[0].startswith("{A:1")
+    engine.out = (said := []).append
+    assert engine.eval_text("print(D, mode:=`compact`)") is True and said[0].startswith("{A:1") and len(said) == 3
 
 
 def test_sample_and_native_functions(engine):

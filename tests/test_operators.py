@@ -63,6 +63,27 @@ def test_joins_against_simulation(spark, op, seed):
     assert sorted([tuple(r) for r in got.collect()], key=key) == simulated(left, right, op)
 
 
+def test_inner_joins_read_each_table_once(spark, tmp_path):
+    for name, keys in (("a", [1, 2]), ("b", [2, 3]), ("n", [2, None])):
+        spark.createDataFrame([(k, f"{name}{k}") for k in keys], "k int, t string").write.parquet(f"{tmp_path}/{name}")
+    a, b, n = (spark.read.parquet(f"{tmp_path}/{x}") for x in "abn")
+
+    def plan(*tables):
+        out = joins.join_tables(dict(zip("xyz", tables)), [joins.Match(u, "k", "==", v, "k") for u, v in zip("xyz", "yz"[: len(tables) - 1])], null_extend=True)
+        return out, out._jdf.queryExecution().optimizedPlan().toString()
+
+    got, text = plan(a, b)
+    assert text.count("Relation [") == 2 and "Inner" in text and "<=>" not in text and got.count() == 1
+    got, text = plan(n, b)
+    assert text.count("Relation [") == 2 and "FullOuter" in text
+    assert sorted((r.x_t, r.y_t or "") for r in got.collect()) == [("n2", "b2"), ("nNone", "")]
+    # Of three tables, a row with a missing key comes out with none of the other two; one whose partner has other keys doesn't.
+    got, text = plan(n, b, b)
+    assert text.count("Relation [") == 3 and sorted((r.x_t, r.z_t or "") for r in got.collect()) == [("n2", "b2"), ("nNone", "")]
+    assert not joins.null_keys({"x": a, "y": b}, [joins.Match("x", "k", "==", "y", "k")])
+    assert joins.null_keys({"x": a.distinct(), "y": b}, [joins.Match("x", "k", "==", "y", "k")])
+
+
 def test_join_limits_and_helpers(spark):
     df = spark.createDataFrame([(1,), (None,)], "x int")
     with pytest.raises(ValueError, match="up to 4"):
@@ -82,8 +103,8 @@ def test_overlaps_against_brute_force(spark, bits):
         out = []
         for i in range(n):
             s = rng.choice([None, rng.randint(-40, 200), rng.randint(-40, 200)])
-            out.append((i, rng.choice(["a", "b", None]), s, None if s is None else s + rng.choice([-2, 0, 1, 9, 70])))
-        return out
+            out.append((i, rng.choice(["a", "b", None]), s, None if s is None else s + rng.choice([-2, 0, 1, 9, 70, 3_000])))
+        return [*out, (n, "a", 0, 2**62), (n + 1, "b", -(2**63), 2**63 - 1), (n + 2, "a", 2**62 - 1, 2**62 + 5)]
 
     left, right = some(150), some(60)
     df = spark.createDataFrame(left, "n int, chrom string, start long, end long").withColumn("__s", F.lit(1)).withColumn("__r", F.lit("x"))
@@ -118,6 +139,14 @@ def test_folds(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_a_hot_key_is_folded_in_short_lists(spark):
+    df = spark.range(0, 300_000, 1, 6).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    out = groups.fold(df, F.col("k"), F.col("v"), lambda a, b: F.when(a > b, a).otherwise(b))
+    assert out.where("key = 0").first().value == 299_997 and out.count() == 200_001
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_greatest_of_a_group_with_a_missing_value(spark):
     df = spark.createDataFrame([(1, 5), (1, None), (2, 5)], "k int, v int")
     assert {r.key: r.value for r in groups.fold(df, F.col("k"), F.col("v"), "max").collect()} == {1: None, 2: 5}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import comb
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -13,6 +16,12 @@ from millrace.session import cut
 
 #: 1 / the relative rank error of the percentile sketches that bracket the exact median.
 SKETCH_ACCURACY = 10_000
+#: A load's rows are joined with its aggregates in so many parts, so that one load with a third of all rows is spread over as many tasks.
+SALTS = 8
+#: Level of the two-sample test: the share of columns that is called changed where both loads are drawn from one distribution is this at most.
+LEVEL = 0.01
+#: Folds with fewer rows are tested against all permutations of their labels, one by one, larger ones by the normal limit of these.
+EXACT_ROWS = 30
 
 
 def _clean(value: Column) -> Column:
@@ -29,55 +38,65 @@ def _joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
     return a.join(b, condition, how).drop(*[f"_right{k}" for k in keys])
 
 
-def _aggregates(df: DataFrame, ranges: dict[str, tuple[float, float]], patterns: dict[str, str]) -> DataFrame:
-    """Exact aggregates of each column and load: ``_entity``, ``_load``, ``column_name`` and the measures."""
+def _loads(df: DataFrame, ranges: dict[str, tuple[float, float]], patterns: dict[str, str]) -> DataFrame:
+    """One row for each load with the aggregates of all columns: ``_n``, and by number of the column ``_k_`` values, ``_min_``, ``_max_``, ``_out_`` of and ``_in_`` the range,
+    ``_q_``: the tenths inside the range and two ranks close to the middle; ``_tk_`` texts and ``_off_`` against the pattern."""
+    aggs = [F.count("*").alias("_n")]
+    shares = F.array(*[F.lit(k / 10) for k in range(1, 10)], F.lit(0.5 - 2 / SKETCH_ACCURACY), F.lit(0.5 + 2 / SKETCH_ACCURACY))
+    for i, (lo, hi) in enumerate(ranges.values()):
+        v, inside = F.col(f"_v_{i}"), F.col(f"_v_{i}").between(float(lo), float(hi))
+        aggs += [
+            F.count(v).alias(f"_k_{i}"), F.min(v).alias(f"_min_{i}"), F.max(v).alias(f"_max_{i}"), F.count_if(v.isNotNull() & ~inside).alias(f"_out_{i}"),
+            F.count_if(inside).alias(f"_in_{i}"), F.percentile_approx(F.when(inside, v), shares, SKETCH_ACCURACY).alias(f"_q_{i}"),
+        ]
+    for i, pattern in enumerate(patterns.values()):
+        t = F.col(f"_t_{i}")
+        aggs += [F.count(t).alias(f"_tk_{i}"), F.count_if(~t.rlike(pattern)).alias(f"_off_{i}")]
+    return df.groupBy("_entity", "_load").agg(*aggs)
+
+
+def _with_loads(df: DataFrame, loads: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with columns of their load, in SALTS parts of each load."""
+    salted = loads.select("_entity", "_load", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), *columns)
+    return _joined(df, salted, ["_entity", "_load", "_salt"])
+
+
+def _distinct_and_median(rows: DataFrame, df: DataFrame, ranges: dict[str, tuple[float, float]], patterns: dict[str, str]) -> DataFrame:
+    """``_entity``, ``_load``, ``_c`` (the number of the column, texts after numbers), ``n_distinct`` and the exact ``median_in_range``.
+
+    One row for each value of a load, however often it occurs, is shuffled; then all values but those between the sketch's two ranks close to the middle collapse to one row for those below
+    and one for the rest, already before the next shuffle. What is sorted is 4 / SKETCH_ACCURACY of a load at most.
+    """
+    group = ["_entity", "_load", "_c"]
     cells = [
-        F.struct(F.lit(c).alias("column_name"), F.col(f"_v_{i}").alias("_v"), F.lit(None).cast("string").alias("_t"), F.lit(float(lo)).alias("_lo"), F.lit(float(hi)).alias("_hi"), F.lit(False).alias("_off"))
-        for i, (c, (lo, hi)) in enumerate(ranges.items())
-    ]
-    cells += [
-        F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("_v"), F.col(f"_t_{i}").alias("_t"), F.lit(0.0).alias("_lo"), F.lit(0.0).alias("_hi"), (~F.col(f"_t_{i}").rlike(pattern)).alias("_off"))
-        for i, (c, pattern) in enumerate(patterns.items())
-    ]
-    long = df.select("_entity", "_load", F.explode(F.array(*cells)).alias("_c")).select("_entity", "_load", "_c.*")
-    group = ["_entity", "_load", "column_name"]
-    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    tenths = F.array(*[F.lit(k / 10) for k in range(1, 10)])
-    near = F.array(F.lit(0.5 - 2 / SKETCH_ACCURACY), F.lit(0.5 + 2 / SKETCH_ACCURACY))
-    base = long.groupBy(*group).agg(
-        F.count("*").alias("n_rows"),
-        (F.count("*") - F.count("_v") - F.count("_t")).alias("n_null"),
-        F.min("_v").alias("min_value"),
-        F.max("_v").alias("max_value"),
-        F.count_if(F.col("_v").isNotNull() & ~inside).alias("n_out_of_range"),
-        F.count_if("_off").alias("n_pattern"),
-        F.count_if(inside).alias("_n_in"),
-        F.percentile_approx(F.when(inside, F.col("_v")), tenths, SKETCH_ACCURACY).alias("_tenths"),
-        F.percentile_approx(F.when(inside, F.col("_v")), near, SKETCH_ACCURACY).alias("_near"),
-    )
-    # One row for each value of a load, however often it occurs; distinct counts and the median come from these.
-    values = long.groupBy(*group, "_v", "_t", "_lo", "_hi").agg(F.count("*").alias("_n"))
-    distinct = values.groupBy(*group).agg((F.count("_v") + F.count("_t")).alias("n_distinct"))
-
-    # Exact median: the sketch brackets the two middle values; all below the bracket collapses to one row, already
-    # before the shuffle, all above is dropped, so what is sorted is 4 / SKETCH_ACCURACY of a load at most.
-    brackets = base.where("_n_in > 0").select(*group, F.col("_near")[0].alias("_a"), F.col("_near")[1].alias("_z"), "_n_in")
-    close = _joined(values.where(inside), brackets, group).where("_v <= _z")
-    close = close.groupBy(*group, "_n_in", F.when(F.col("_v") >= F.col("_a"), F.col("_v")).alias("_v")).agg(F.sum("_n").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    close = close.withColumn("_upto", upto)
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
-
-    middle = close.groupBy(*group).agg(((at(F.floor((F.col("_n_in") - 1) / 2)) + at(F.floor(F.col("_n_in") / 2))) / 2).alias("median_in_range"))
-    return _joined(_joined(base, distinct, group), middle, group, "left").drop("_near")
-
-
-def _bins(value: Column, lo: float, hi: float, cuts: Column) -> Column:
-    """0: null, 1 and 2: below and above the range, from 3: by the cuts."""
-    rank = F.size(F.filter(cuts, lambda c: c < value)) + 3
-    return F.when(value.isNull(), 0).when(value < lo, 1).when(value > hi, 2).otherwise(rank).cast("int")
+        F.struct(F.lit(i).alias("_c"), F.col(f"_v_{i}").alias("_v"), F.col(f"_v_{i}").between(float(lo), float(hi)).alias("_inside"), F.get(f"_q_{i}", F.lit(9)).alias("_a"), F.get(f"_q_{i}", F.lit(10)).alias("_z"))
+        for i, (lo, hi) in enumerate(ranges.values())
+    ]
+    found = []
+    if cells:
+        long = rows.select("_entity", "_load", F.explode(F.array(*cells)).alias("_x")).select("_entity", "_load", "_x.*").where(F.col("_v").isNotNull())
+        values = long.groupBy(*group, "_v", "_inside", "_a", "_z").agg(F.count("*").alias("_n"))
+        place = F.when(~F.col("_inside") | (F.col("_v") > F.col("_z")), 2).when(F.col("_v") < F.col("_a"), 0).otherwise(1)
+        few = values.withColumn("_place", place).groupBy(*group, "_place", F.when(place == 1, F.col("_v")).alias("_v"))
+        few = few.agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.sum(F.when(F.col("_inside"), F.col("_n")).otherwise(0)).alias("_m"))
+        upto = F.sum("_m").over(Window.partitionBy(*group).orderBy("_place", "_v").rowsBetween(Window.unboundedPreceding, 0))
+        few = few.withColumn("_upto", upto).withColumn("_all", F.sum("_m").over(Window.partitionBy(*group)))
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when((F.col("_upto") - F.col("_m") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+
+        median = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2
+        found.append(few.groupBy(*group).agg(F.sum("_d").alias("n_distinct"), median.alias("median_in_range")))
+    if patterns:
+        texts = F.array(*[F.struct(F.lit(len(ranges) + i).alias("_c"), F.col(f"_t_{i}").alias("_t")) for i in range(len(patterns))])
+        long = df.select("_entity", "_load", F.explode(texts).alias("_x")).select("_entity", "_load", "_x.*").where(F.col("_t").isNotNull()).distinct()
+        found.append(long.groupBy(*group).agg(F.count("*").alias("n_distinct"), F.lit(None).cast("double").alias("median_in_range")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _rank(value: str, cuts: str) -> str:
+    """How many of a load's tenths a value is beyond."""
+    return "coalesce(" + " + ".join(f"int({value} > {cuts}[{k}])" for k in range(9)) + ", 0)"
 
 
 def _auc(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
@@ -105,54 +124,107 @@ def _saturated(levels: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.
     return np.log(ones / zeros)
 
 
-def _discriminate(cells: np.ndarray, fold: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> list[tuple[float, float, float]]:
-    """For each column: cross-fitted AUC with all columns, without the column, and with it alone."""
-    blocks, codes = [], []
+def _no_more_by_chance(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    """How many standard deviations the area under the curve is above what labels dealt at random would give, with ties.
+
+    Labels of rows that the scores weren't trained on are exchangeable where both loads are drawn from one distribution, so this is standard normal then (or, of
+    fewer than EXACT_ROWS rows, the normal quantile of the exact share of permutations with such an area or a greater one).
+    """
+    _, where = np.unique(np.round(score, 9), return_inverse=True)
+    ones, zeros = (np.bincount(where, weight * (label == v)) for v in (1, 0))
+    both, n1, n0 = ones + zeros, ones.sum(), zeros.sum()
+    n = n1 + n0
+    twice = 2 * np.cumsum(both) - both + 1  # twice the mean rank of each group of ties
+    total = (ones * twice).sum()
+    if n >= EXACT_ROWS:
+        spread = n1 * n0 / 3 * (n + 1 - (both**3 - both).sum() / (n * (n - 1)))
+        return float((total - n1 * (n + 1)) / np.sqrt(spread)) if spread > 0 else 0.0
+    # How many ways there are to choose k rows with twice the rank sum s, a group of ties after the other.
+    ways = np.zeros((int(n1) + 1, int(n * (n + 1)) + 1))
+    ways[0, 0] = 1
+    for size, rank in zip(both.astype(int), twice.astype(int)):
+        new = np.zeros_like(ways)
+        for k in range(min(size, int(n1)) + 1):
+            new[k:, k * rank :] += comb(int(size), k) * ways[: ways.shape[0] - k, : ways.shape[1] - k * rank]
+        ways = new
+    share = ways[int(n1), int(total) :].sum() / ways[int(n1)].sum()
+    return NormalDist().inv_cdf(min(max(1 - share, 1e-12), 1 - 1e-12))
+
+
+def _newton(x: np.ndarray, label: np.ndarray, weight: np.ndarray, beta: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """Steps of a weighted logistic regression from where it stands."""
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+        hessian.flat[:: len(penalty) + 1] += penalty
+        beta = beta + np.linalg.solve(hessian, x.T @ (weight * (label - p)) - penalty * beta)
+    return beta
+
+
+def _discriminate(cells: np.ndarray, fold: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> list[tuple[float, float, float, float]]:
+    """For each column: cross-fitted AUC with all columns, without the column, and with it alone; and the p-value of the last.
+
+    Without a column the regression goes on from the one with all. The two folds' statistics depend on one another (each is trained on what the other is tested on), so their mean is taken for
+    a standard normal variable, which it is if they are one and the same, and narrower than if not: the level holds in either case.
+    """
+    codes, blocks, of = [], [np.ones((len(cells), 1))], [np.array([-1])]
     for c in range(cells.shape[1]):
         levels, code = np.unique(cells[:, c], return_inverse=True)
         codes.append(code)
         blocks.append((code[:, None] == np.arange(1, len(levels))[None, :]).astype(float))
-    one = np.ones((len(cells), 1))
-    every = range(len(blocks))
-    designs = {"all": np.hstack([one, *blocks])} | {("without", c): np.hstack([one, *(blocks[k] for k in every if k != c)]) for c in every}
-    areas: dict = {name: [] for name in [*designs, *(("alone", c) for c in every)]}
+        of.append(np.full(len(levels) - 1, c))
+    x, of = np.hstack(blocks), np.concatenate(of)
+    areas: dict = {}
     for part in (0, 1):
         train, test = fold != part, fold == part
-        if len({*label[train]}) < 2 or len({*label[test]}) < 2:
+        y, w, ty, tw = label[train], weight[train], label[test], weight[test]
+        if not 0 < y.sum() < len(y) or not 0 < ty.sum() < len(ty):
             continue
-        for name, x in designs.items():
-            areas[name].append(_auc(x[test] @ _fit(x[train], label[train], weight[train], ridge, steps), label[test], weight[test]))
-        for c in every:
-            odds = _saturated(np.append(codes[c][train], codes[c].max()), np.append(label[train], -1), np.append(weight[train], 0))
-            areas["alone", c].append(_auc(odds[codes[c][test]], label[test], weight[test]))
-    out = {name: float(np.mean(found)) if found else float("nan") for name, found in areas.items()}
-    return [(out["all"], out["without", c], out["alone", c]) for c in every]
+        beta = _newton(x[train], y, w, np.zeros(x.shape[1]), ridge, steps)
+        areas.setdefault("all", []).append(_auc(x[test] @ beta, ty, tw))
+        for c, code in enumerate(codes):
+            rest = of != c
+            less = x[:, rest]
+            areas.setdefault(("without", c), []).append(_auc(less[test] @ _newton(less[train], y, w, beta[rest], ridge, 2), ty, tw))
+            odds = _saturated(np.append(code[train], code.max()), np.append(y, -1), np.append(w, 0))[code[test]]
+            areas.setdefault(("alone", c), []).append(_auc(odds, ty, tw))
+            areas.setdefault(("beyond", c), []).append(_no_more_by_chance(odds, ty, tw))
 
+    def mean(name: object) -> float:
+        return float(np.mean(areas[name])) if name in areas else float("nan")
 
-def _two_sample(df: DataFrame, base: DataFrame, ranges: dict[str, tuple[float, float]], ridge: float = 1.0, steps: int = 6) -> DataFrame:
+    normal = NormalDist()
+    return [(mean("all"), mean(("without", c)), mean(("alone", c)), 1 - normal.cdf(z) if (z := mean(("beyond", c))) == z else float("nan")) for c in range(len(codes))]
+
+
+def _two_sample(rows: DataFrame, ranges: dict[str, tuple[float, float]], ridge: float = 1.0, steps: int = 4) -> DataFrame:
     """Classifier two-sample test of each load against the load before.
 
     The features are the bins of each column, cut at the tenths of both loads, so a pair of loads reduces to
-    counts of bin combinations: a bounded table whatever the size of the loads, aggregated before and after the shuffle. On
-    these counts of all rows the regressions are trained, each pair by its own task.
+    counts of bin combinations: a bounded table whatever the size of the loads, aggregated before and after the shuffle. A load is aggregated once, for its pair
+    with the load before and the one after it, by its ranks among the tenths of all three. On these counts of all rows the regressions are trained, each pair by its own task.
     """
     names = list(ranges)
-    cuts = base.groupBy("_entity", "_load").agg(
-        *[F.first(F.when(F.col("column_name") == c, F.col("_tenths")), True).alias(f"_q_{i}") for i, c in enumerate(names)]
-    )
-    before = cuts.select("_entity", (F.col("_load") + 1).alias("_load"), *[F.col(f"_q_{i}").alias(f"_p_{i}") for i in range(len(names))])
-    none = F.expr("cast(array() as array<double>)")
-    pairs = cuts.join(before, ["_entity", "_load"]).select(
-        "_entity", "_load", *[F.array_union(F.coalesce(f"_q_{i}", none), F.coalesce(f"_p_{i}", none)).alias(f"_q_{i}") for i in range(len(names))]
-    )
-    rows = df.select("_entity", F.explode(F.array(F.struct(F.col("_load").alias("_load"), F.lit(1).alias("_y")), F.struct((F.col("_load") + 1).alias("_load"), F.lit(0).alias("_y")))).alias("_x"), "_fold", *[f"_v_{i}" for i in range(len(names))])
-    rows = rows.select("_entity", "_x.*", "_fold", *[f"_v_{i}" for i in range(len(names))]).join(pairs, ["_entity", "_load"])
-    bins = [_bins(F.col(f"_v_{i}"), *ranges[c], F.col(f"_q_{i}")).alias(f"_b_{i}") for i, c in enumerate(names)]
-    counts = rows.select("_entity", "_load", "_y", "_fold", *bins).groupBy("_entity", "_load", "_y", "_fold", *[f"_b_{i}" for i in range(len(names))]).agg(F.count("*").alias("_n"))
+    every = range(len(names))
+    kinds = []
+    for i, (lo, hi) in enumerate(ranges.values()):
+        v = f"_v_{i}"
+        # 0: null, 1 and 2: below and above the range; else the ranks among the tenths of this load, of the one before and of the one after, 3 + their sum being the bin in a pair.
+        odd = f"case when {v} is null then 0 when {v} < {float(lo)!r}D then 1 when {v} > {float(hi)!r}D then 2 end"
+        ranks = [f"if({v} between {float(lo)!r}D and {float(hi)!r}D, {_rank(v, q)}, 0)" for q in (f"_q_{i}", f"_p_{i}", f"_s_{i}")]
+        kinds += [F.expr(f"cast({e} as tinyint) as {n}_{i}") for e, n in zip((odd, *ranks), ("_o", "_r", "_rp", "_rs"))]
+    keys = ["_entity", "_load", "_fold", *(f"{n}_{i}" for i in every for n in ("_o", "_r", "_rp", "_rs"))]
+    df = rows.where(F.col("_entity").isNotNull() & F.col("_load").isNotNull() & (F.col("_before") | F.col("_after"))).select("_entity", "_load", "_fold", "_before", "_after", *kinds)
+    counts = df.groupBy(*keys, "_before", "_after").agg(F.count("*").alias("_n"))
+    pair = [F.struct(((F.col("_load") if y else F.col("_load") + 1)).alias("_load"), F.lit(y).alias("_y"), *[F.coalesce(f"_o_{i}", F.col(f"_r_{i}") + F.col(f"{r}_{i}") + 3).cast("int").alias(f"_b_{i}") for i in every]) for y, r in ((1, "_rp"), (0, "_rs"))]
+    both = F.array_compact(F.array(F.when(F.col("_before"), pair[0]), F.when(F.col("_after"), pair[1])))
+    counts = counts.select("_entity", "_fold", "_n", F.explode(both).alias("_x")).select("_entity", "_x.*", "_fold", "_n")
 
     entity, load = (df.schema[c].dataType.simpleString() for c in ("_entity", "_load"))
     binned = [f"_b_{i}" for i in range(len(names))]
-    columns = ["_entity", "_load", "column_name", "auc", "auc_without", "auc_alone"]
+    columns = ["_entity", "_load", "column_name", "auc", "auc_without", "auc_alone", "p_value"]
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by pair, so that a pair's rows follow one another; those of the last pair of a batch wait for the next batch."""
@@ -176,7 +248,7 @@ def _two_sample(df: DataFrame, base: DataFrame, ranges: dict[str, tuple[float, f
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
-    schema = f"_entity {entity}, _load {load}, column_name string, auc double, auc_without double, auc_alone double"
+    schema = f"_entity {entity}, _load {load}, column_name string, auc double, auc_without double, auc_alone double, p_value double"
     return counts.repartition("_entity", "_load").sortWithinPartitions("_entity", "_load", *binned, "_fold", "_y").mapInPandas(train, schema)
 
 
@@ -191,45 +263,77 @@ def profile_loads(df: DataFrame, entity: str, load: str, row_id: str, ranges: di
     ``ranges`` has the valid range of each numeric column, ``patterns`` a regular expression for each text column. One row for
     each entity, load and column: ``kind`` (``number`` or ``text``), ``n_rows``, ``n_null`` (NaN included), ``null_rate``, ``n_distinct``, ``min_value``, ``max_value``,
     ``n_out_of_range``, ``n_pattern`` (texts that don't match), ``median_in_range`` (exact), the same of the load before (``prev_...``; null
-    if there is none), and of the classifier two-sample test ``auc`` (both loads told apart by all numeric columns, cross-fitted), ``auc_without`` the
-    column (ablation) and ``auc_alone``.
+    if there is none). Of the classifier two-sample test against the load before: ``auc`` (both loads told apart by all numeric columns, cross-fitted), ``auc_without`` the
+    column (ablation), ``auc_alone``, ``p_value`` of the latter; ``changed``: the test sees a change of the column's distribution (nulls and values out of range included) at LEVEL; and
+    ``undecided``: the bins of the test, the middle one of which holds the median, leave room for one median twice the other.
 
-    Nothing is sampled: base aggregates are exact, medians included, and the classifier is trained on counts of all rows.
+    Nothing is sampled: base aggregates are exact, medians included, and the classifier is trained on counts of all rows. A pair of loads is fitted by one task, on its table of
+    counts, whose size is bounded by the bins.
 
     Defined cases: -0.0 counts as 0.0; infinite values are out of range; a null entity or load number is a group of its own
-    without a load before; a column that is null throughout has null measures; AUCs are null where a fold has one load only; an empty
+    without a load before; a column that is null throughout has null measures; AUCs, ``p_value`` and ``changed`` are null where a fold has one load only; an empty
     table gives an empty profile; repeated rows count; other columns are ignored, whatever their names.
     """
+    names = [*ranges, *patterns]
+    numbers, texts = range(len(ranges)), range(len(patterns))
+    of_row = F.xxhash64(df[row_id])
     src = df.select(
-        df[entity].alias("_entity"), df[load].alias("_load"),
-        (F.pmod(F.xxhash64(df[row_id]), F.lit(2))).cast("int").alias("_fold"),
+        df[entity].alias("_entity"), df[load].alias("_load"), (F.pmod(of_row, F.lit(2))).cast("tinyint").alias("_fold"), F.pmod(F.shiftright(of_row, 1), F.lit(SALTS)).cast("int").alias("_salt"),
         *[_clean(df[c]).alias(f"_v_{i}") for i, c in enumerate(ranges)],
         *[df[c].cast("string").alias(f"_t_{i}") for i, c in enumerate(patterns)],
     )
-    base = cut(_aggregates(src, ranges, patterns))  # one row for each load and column; read four times below
-    tested = _two_sample(src, base, ranges)
-    group = ["_entity", "_load", "column_name"]
+    loads = cut(_loads(src, ranges, patterns))  # one row for each load
+    pair = ["_entity", "_load"]
+    cuts = loads.select(*pair, *[f"_q_{i}" for i in numbers])
+    before = cuts.select("_entity", (F.col("_load") + 1).alias("_load"), F.lit(True).alias("_before"), *[F.col(f"_q_{i}").alias(f"_p_{i}") for i in numbers])
+    after = cuts.select("_entity", (F.col("_load") - 1).alias("_load"), F.lit(True).alias("_after"), *[F.col(f"_q_{i}").alias(f"_s_{i}") for i in numbers])
+    beside = cuts.join(before, pair, "left").join(after, pair, "left").withColumn("_before", F.coalesce("_before", F.lit(False))).withColumn("_after", F.coalesce("_after", F.lit(False)))
+    rows = _with_loads(src.drop(*[f"_t_{i}" for i in texts]), beside, ["_before", "_after", *[f"{n}_{i}" for i in numbers for n in ("_q", "_p", "_s")]])
+    tested = _two_sample(rows, ranges) if ranges else None
+
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
+    cells = [
+        F.struct(F.lit(i).alias("_c"), F.lit(names[i]).alias("column_name"), F.lit("number").alias("kind"), (F.col("_n") - F.col(f"_k_{i}")).alias("n_null"), F.col(f"_min_{i}").alias("min_value"), F.col(f"_max_{i}").alias("max_value"),
+                 F.col(f"_out_{i}").alias("n_out_of_range"), zero.alias("n_pattern"), F.get(f"_q_{i}", F.lit(3)).alias("_low"), F.get(f"_q_{i}", F.lit(5)).alias("_high"))
+        for i in numbers
+    ] + [
+        F.struct(F.lit(len(ranges) + i).alias("_c"), F.lit(names[len(ranges) + i]).alias("column_name"), F.lit("text").alias("kind"), (F.col("_n") - F.col(f"_tk_{i}")).alias("n_null"), none.alias("min_value"), none.alias("max_value"),
+                 zero.alias("n_out_of_range"), F.col(f"_off_{i}").alias("n_pattern"), none.alias("_low"), none.alias("_high"))
+        for i in texts
+    ]
+    base = loads.select(*pair, F.col("_n").alias("n_rows"), F.explode(F.array(*cells)).alias("_x")).select(*pair, "n_rows", "_x.*")
+    base = _joined(base, _distinct_and_median(rows, src, ranges, patterns), [*pair, "_c"], "left").withColumn("n_distinct", F.coalesce("n_distinct", zero)).drop("_c")
+    base = cut(base)  # a row for each load and column, read twice below
+    group = [*pair, "column_name"]
     measures = ["n_rows", "n_null", "n_distinct", "median_in_range"]
-    prev = base.select("_entity", (F.col("_load") + 1).alias("_load"), "column_name", *[F.col(m).alias(f"prev_{m}") for m in measures])
-    out = base.join(prev, group, "left").join(tested, group, "left")
-    number = ["auc", "auc_without", "auc_alone"]
+    prev = base.select("_entity", (F.col("_load") + 1).alias("_load"), "column_name", *[F.col(m).alias(f"prev_{m}") for m in measures], F.col("_low").alias("_prev_low"), F.col("_high").alias("_prev_high"))
+    out = base.join(prev, group, "left")
+    if tested is not None:
+        out = out.join(tested, group, "left")
+    else:
+        out = out.select("*", *[none.alias(n) for n in ("auc", "auc_without", "auc_alone", "p_value")])
+    room = (F.col("_high") > 2 * F.col("_prev_low")) | (F.col("_prev_high") > 2 * F.col("_low"))
+    out = out.withColumn("p_value", F.nanvl("p_value", none))
     return out.select(
-        F.col("_entity").alias(entity), F.col("_load").alias(load), "column_name",
-        F.when(F.col("column_name").isin(*ranges), "number").otherwise("text").alias("kind"), "n_rows", "n_null", (F.col("n_null") / F.col("n_rows")).alias("null_rate"),
+        F.col("_entity").alias(entity), F.col("_load").alias(load), "column_name", "kind", "n_rows", "n_null", (F.col("n_null") / F.col("n_rows")).alias("null_rate"),
         "n_distinct", "min_value", "max_value", "n_out_of_range", "n_pattern", "median_in_range",
-        *[f"prev_{m}" for m in measures], *[F.nanvl(F.col(c), F.lit(None)).alias(c) for c in number],
+        *[f"prev_{m}" for m in measures], *[F.nanvl(F.col(c), none).alias(c) for c in ("auc", "auc_without", "auc_alone")], "p_value", (F.col("p_value") < LEVEL).alias("changed"), room.alias("undecided"),
     )
 
 
 def load_findings(profile: DataFrame, entity: str, load: str) -> DataFrame:
-    """The findings of a profile: (entity, load, ``column_name``, ``finding``), and beside them the two-sample test's ``auc``, ``auc_without`` and ``auc_alone``.
+    """The findings of a profile: (entity, load, ``column_name``, ``finding``), and beside them the two-sample test's ``auc``, ``auc_without``, ``auc_alone`` and ``p_value``.
 
     ``range`` and ``pattern``: values out of the range, texts against the pattern (null texts aren't). For numbers, against the load before: ``null_rate`` (differs by more than
     0.25), ``distinct`` (less than a quarter as many) and ``shift``: one exact median is more than twice the other, however few values a load has inside the range.
-    The test filters nothing: its AUCs say how far the loads can be told apart, which few values among many nulls may hide.
+
+    A ``shift`` is a candidate of the two-sample test first: a column that the test calls changed at its level, or for which its bins can't rule a doubling out (``undecided``); the exact medians
+    check the candidates. The median of a load lies between its fourth and sixth tenth, which are cuts of the test's bins, so a column that is refused has no such shift: the
+    candidates lose none.
     """
     c = F.col
-    moved = (c("median_in_range") > 2 * c("prev_median_in_range")) | (c("prev_median_in_range") > 2 * c("median_in_range"))
+    candidate = F.coalesce(c("changed"), F.lit(False)) | c("undecided")
+    moved = candidate & ((c("median_in_range") > 2 * c("prev_median_in_range")) | (c("prev_median_in_range") > 2 * c("median_in_range")))
     rate, was = c("n_null") / c("n_rows"), c("prev_n_null") / c("prev_n_rows")
     tests = {
         "range": c("n_out_of_range") > 0,
@@ -239,4 +343,10 @@ def load_findings(profile: DataFrame, entity: str, load: str) -> DataFrame:
         "shift": moved,
     }
     found = F.array_compact(F.array(*[F.when(t & (F.lit(k == "pattern") | (c("kind") == "number")), k) for k, t in tests.items()]))
-    return profile.select(entity, load, "column_name", F.explode(found).alias("finding"), "auc", "auc_without", "auc_alone")
+    return profile.select(entity, load, "column_name", F.explode(found).alias("finding"), "auc", "auc_without", "auc_alone", "p_value")
+
+
+def load_changes(profile: DataFrame, entity: str, load: str) -> DataFrame:
+    """What the classifier finds by itself: the columns of loads whose distribution changed since the load before, at LEVEL (a false one in a hundred comparisons of loads without a change), the clearest first by ``p_value``."""
+    gain = (F.col("auc") - F.col("auc_without")).alias("gain")
+    return profile.where("changed").select(entity, load, "column_name", "auc", "auc_alone", gain, "p_value", "median_in_range", "prev_median_in_range", "null_rate", (F.col("prev_n_null") / F.col("prev_n_rows")).alias("prev_null_rate"))

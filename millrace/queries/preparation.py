@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.line_parsing import NA_SPELLINGS, ParsedLines, lab_rules, parse_lines
-from millrace.operators.load_profile import load_findings, profile_loads
+from millrace.operators.load_profile import load_changes, load_findings, profile_loads
 from millrace.operators.periods import periods_and_gaps
 from millrace.queries import Query, table
 
@@ -46,7 +46,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return load_findings(p5_profile(spark, folder), "instrument", "load_no").select("instrument", "load_no", "column_name", "finding")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_typed_small, p2_typed_conta, p4_found, p5_found, p5_profile)}
+def p5_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What the classifier sees, whatever the rules of the findings say."""
+    return load_changes(p5_profile(spark, folder), "instrument", "load_no")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_typed_small, p2_typed_conta, p4_found, p5_found, p5_profile, p5_changes)}
 
 _FIELD = r'("(?:[^"]|"")*"|[^"\t][^\t]*|)'
 _LINES = rf"""

@@ -5,7 +5,7 @@ from statistics import median
 
 import numpy as np
 
-from millrace.operators.load_profile import _auc, _fit, load_findings, profile_loads
+from millrace.operators.load_profile import LEVEL, _auc, _newton, _no_more_by_chance, load_changes, load_findings, profile_loads
 
 SCHEMA = "id long, inst string, load int, v double, w double, name string, _entity string, auc double"
 RANGES, PATTERNS = {"v": (0, 1), "w": (0, 100)}, {"name": r"\AP[0-9]\z"}
@@ -80,9 +80,54 @@ def test_regression_and_area():
     rng = np.random.default_rng(0)
     x = np.hstack([np.ones((4000, 1)), rng.normal(size=(4000, 2))])
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 1])))).astype(float)
-    beta = _fit(x, y, np.ones(4000), 1e-3, 12)
+    beta = _newton(x, y, np.ones(4000), np.zeros(3), 1e-3, 12)
     assert np.allclose(beta, [0.5, 2, 0], atol=0.2)
     s, w = rng.integers(0, 5, 300).astype(float), rng.integers(1, 4, 300).astype(float)
     label = (rng.random(300) < 0.4).astype(float)
     pairs = [(wi * wj, (si > sj) + 0.5 * (si == sj)) for si, wi, li in zip(s, w, label) if li for sj, wj, lj in zip(s, w, label) if not lj]
     assert abs(_auc(s, label, w) - sum(a * b for a, b in pairs) / sum(a for a, _ in pairs)) < 1e-9
+
+
+def test_level_and_power_of_the_test(spark):
+    """Loads without a change are called changed at the stated rate at most, and refused as candidates; doubled medians aren't."""
+    rng = random.Random(5)
+    same = [(f"S{k}", load, 0.3 + 0.1 * rng.random(), 50 + rng.gauss(0, 4), "P1") for k in range(100) for load in range(1, 5) for _ in range(40)]
+    moved = [(f"M{k}", load, (0.2 if load == 1 else 0.5) + 0.1 * rng.random(), 50.0, "P1") for k in range(100) for load in (1, 2) for _ in range(40)]
+    got = [r for r in profile(spark, same + moved).collect() if r.kind == "number" and r.auc is not None]
+    still = [r for r in got if r.inst[0] == "S"]
+    assert len(still) == 600 and sum(r.changed for r in still) <= 600 * LEVEL + 3 * (600 * LEVEL) ** 0.5
+    assert sum(r.changed or r.undecided for r in still) <= 0.05 * len(still)
+    assert all(r.changed and r.p_value < LEVEL for r in got if r.inst[0] == "M" and r.column_name == "v")
+
+
+def test_candidates_lose_no_shift(spark):
+    """Medians in a gap between two heaps of values: the distributions differ by a row or two, the medians by far."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(60):
+        loads = {}
+        for load in (1, 2, 3):
+            low = rng.choice([20, 21, 19, 1, 2]) if k % 2 else rng.randint(0, 3)
+            loads[load] = [0.01 + 0.001 * rng.random() for _ in range(low)] + [0.9] * rng.choice([20, 19, 21, 2])
+            rows += [(f"G{k}", load, x, 1.0, "P1") for x in loads[load]]
+        for load in (2, 3):
+            a, b = median(loads[load]), median(loads[load - 1])
+            if a > 2 * b or b > 2 * a:
+                want.add((f"G{k}", load))
+    found = load_findings(profile(spark, rows), "inst", "load").where("finding = 'shift'").collect()
+    assert {(r.inst, r.load) for r in found} == want and len(want) > 20
+
+
+def test_changes(spark):
+    rows = [("A", load, None if load == 2 and i % 2 else 0.5, float(i), "P1") for load in (1, 2, 3) for i in range(200)]
+    assert {(r.load, r.column_name) for r in load_changes(profile(spark, rows), "inst", "load").collect()} == {(2, "v"), (3, "v")}
+
+
+def test_permutations_by_brute_force():
+    from itertools import combinations
+    from statistics import NormalDist
+
+    score, label = np.array([1.0, 2, 2, 3, 5, 5, 7]), np.array([0.0, 0, 1, 0, 1, 0, 1])
+    chosen = [_auc(score, np.isin(np.arange(7), c).astype(float), np.ones(7)) for c in combinations(range(7), 3)]
+    share = np.mean([a >= _auc(score, label, np.ones(7)) - 1e-12 for a in chosen])
+    assert abs(NormalDist().cdf(_no_more_by_chance(score, label, np.ones(7))) - (1 - share)) < 1e-9

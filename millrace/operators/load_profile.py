@@ -99,104 +99,126 @@ def _rank(value: str, cuts: str) -> str:
     return "coalesce(" + " + ".join(f"int({value} > {cuts}[{k}])" for k in range(9)) + ", 0)"
 
 
-def _auc(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
-    """Area under the curve with weights; ties count half. NaN where a class is absent."""
-    _, where = np.unique(np.round(score, 9), return_inverse=True)
-    ones, zeros = (np.bincount(where, weight * (label == v)) for v in (1, 0))
-    total = ones.sum() * zeros.sum()
-    return float((ones * (np.cumsum(zeros) - zeros / 2)).sum() / total) if total else float("nan")
+#: Bins of a column in a pair of loads: null, below and above the range, and the ranks among 18 tenths.
+LEVELS = 22
+#: Padded cells of the matrices of pairs that are fitted at once.
+FITTED = 4_000_000
+
+
+def _areas(score: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Areas under the curve, row by row, for weights of either label; ties count half. NaN where a label is absent."""
+    order = np.argsort(np.round(score, 9), axis=1, kind="stable")
+    s, ones, zeros = (np.take_along_axis(x, order, 1) for x in (np.round(score, 9), ones, zeros))
+    n, at = s.shape[1], np.arange(s.shape[1])
+    fresh = np.ones(s.shape, bool)
+    fresh[:, 1:] = s[:, 1:] != s[:, :-1]
+    first = np.maximum.accumulate(np.where(fresh, at, 0), axis=1)
+    last = np.minimum.accumulate(np.where(np.roll(fresh, -1, 1) | (at == n - 1), at, n)[:, ::-1], axis=1)[:, ::-1]
+    upto = np.cumsum(zeros, axis=1)
+    below = np.take_along_axis(upto - zeros, first, 1) + np.take_along_axis(upto, last, 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (ones * below).sum(1) / 2 / (ones.sum(1) * zeros.sum(1))
 
 
-def _fit(x: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-    """Weighted logistic regression by Newton steps."""
-    beta, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def _newton(x: np.ndarray, label: np.ndarray, weight: np.ndarray, beta: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """Newton steps of weighted logistic regressions from where they stand, one for each matrix of ``x``."""
+    penalty = np.full(x.shape[2], ridge)
     penalty[0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        beta = beta + np.linalg.solve(hessian + np.diag(penalty), x.T @ (weight * (label - p)) - penalty * beta)
+        p = 1 / (1 + np.exp(-np.clip((x @ beta[:, :, None])[:, :, 0], -30, 30)))
+        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, :, None]).transpose(0, 2, 1) @ x + np.diag(penalty)
+        slope = ((weight * (label - p))[:, None, :] @ x)[:, 0] - penalty * beta
+        beta = beta + np.linalg.solve(hessian, slope[:, :, None])[:, :, 0]
     return beta
 
 
-def _saturated(levels: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Log odds of each level: the logistic regression on one column's bins in closed form, with one row of each label added to a bin."""
-    ones, zeros = (np.bincount(levels, weight * (label == v), levels.max() + 1) + 1 for v in (1, 0))
-    return np.log(ones / zeros)
-
-
-def _no_more_by_chance(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
-    """How many standard deviations the area under the curve is above what labels dealt at random would give, with ties.
-
-    Labels of rows that the scores weren't trained on are exchangeable where both loads are drawn from one distribution, so this is standard normal then (or, of
-    fewer than EXACT_ROWS rows, the normal quantile of the exact share of permutations with such an area or a greater one).
-    """
-    _, where = np.unique(np.round(score, 9), return_inverse=True)
-    ones, zeros = (np.bincount(where, weight * (label == v)) for v in (1, 0))
-    both, n1, n0 = ones + zeros, ones.sum(), zeros.sum()
-    n = n1 + n0
-    twice = 2 * np.cumsum(both) - both + 1  # twice the mean rank of each group of ties
-    total = (ones * twice).sum()
-    if n >= EXACT_ROWS:
-        spread = n1 * n0 / 3 * (n + 1 - (both**3 - both).sum() / (n * (n - 1)))
-        return float((total - n1 * (n + 1)) / np.sqrt(spread)) if spread > 0 else 0.0
+def _by_permutations(odds: np.ndarray, ones: np.ndarray, both: np.ndarray) -> float:
+    """The normal quantile of the exact share of permutations of the labels with a smaller area under the curve."""
+    _, where = np.unique(odds, return_inverse=True)
+    ones, both = np.bincount(where, ones), np.bincount(where, both)
+    n1, n = int(ones.sum()), int(both.sum())
+    twice = 2 * np.cumsum(both) - both + 1
     # How many ways there are to choose k rows with twice the rank sum s, a group of ties after the other.
-    ways = np.zeros((int(n1) + 1, int(n * (n + 1)) + 1))
+    ways = np.zeros((n1 + 1, n * (n + 1) + 1))
     ways[0, 0] = 1
     for size, rank in zip(both.astype(int), twice.astype(int)):
         new = np.zeros_like(ways)
-        for k in range(min(size, int(n1)) + 1):
+        for k in range(min(size, n1) + 1):
             new[k:, k * rank :] += comb(int(size), k) * ways[: ways.shape[0] - k, : ways.shape[1] - k * rank]
         ways = new
-    share = ways[int(n1), int(total) :].sum() / ways[int(n1)].sum()
+    share = ways[n1, int((ones * twice).sum()) :].sum() / ways[n1].sum()
     return NormalDist().inv_cdf(min(max(1 - share, 1e-12), 1 - 1e-12))
 
 
-def _newton(x: np.ndarray, label: np.ndarray, weight: np.ndarray, beta: np.ndarray, ridge: float, steps: int) -> np.ndarray:
-    """Steps of a weighted logistic regression from where it stands."""
-    penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
-        hessian.flat[:: len(penalty) + 1] += penalty
-        beta = beta + np.linalg.solve(hessian, x.T @ (weight * (label - p)) - penalty * beta)
-    return beta
+def _alone(odds: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts by bin (last axis) of rows that the bins' odds weren't trained on: the area under the curve, and how many standard deviations it is above what labels dealt at random
+    would give, with ties.
+
+    Labels are exchangeable where both loads are drawn from one distribution, so the latter is standard normal then (for fewer than EXACT_ROWS rows by
+    all permutations).
+    """
+    same, under = odds[..., :, None] == odds[..., None, :], odds[..., :, None] > odds[..., None, :]
+    both = ones + zeros
+    ties = (same * both[..., None, :]).sum(-1)
+    below = (under * both[..., None, :]).sum(-1)
+    n1, n0 = ones.sum(-1), zeros.sum(-1)
+    n = n1 + n0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        area = (ones * ((under * zeros[..., None, :]).sum(-1) + (same * zeros[..., None, :]).sum(-1) / 2)).sum(-1) / (n1 * n0)
+        spread = n1 * n0 / 3 * (n + 1 - (both * (ties**2 - 1)).sum(-1) / (n * (n - 1)))
+        beyond = np.where(spread > 0, ((ones * (2 * below + ties + 1)).sum(-1) - n1 * (n + 1)) / np.sqrt(spread), 0.0)
+    for at in zip(*np.nonzero((n < EXACT_ROWS) & (n1 > 0) & (n0 > 0))):
+        beyond[at] = _by_permutations(odds[at], ones[at], both[at])
+    return area, beyond
 
 
-def _discriminate(cells: np.ndarray, fold: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> list[tuple[float, float, float, float]]:
-    """For each column: cross-fitted AUC with all columns, without the column, and with it alone; and the p-value of the last.
+def _features(cells: np.ndarray) -> np.ndarray:
+    """Of the bins of each column: the rank and its square, and whether it is null, below or above the range; the constant first."""
+    rank = np.where(cells > 2, (cells - 3) / (LEVELS - 4), 0.0)
+    parts = np.stack([rank, rank**2, cells == 0, cells == 1, cells == 2], -1)
+    return np.concatenate([np.ones((len(cells), 1)), parts.reshape(len(cells), -1)], 1)
 
-    Without a column the regression goes on from the one with all. The two folds' statistics depend on one another (each is trained on what the other is tested on), so their mean is taken for
+
+def _discriminate(begins: np.ndarray, ends: np.ndarray, cells: np.ndarray, fold: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """For each pair of loads (rows from ``begins`` up to ``ends``) and column: cross-fitted AUC with all columns, without the column, and with it alone; and the p-value of the last.
+
+    Pairs of like sizes are fitted at once. Without a column the regression goes on from the one with all; alone, a column's bins have the odds of a logistic regression in closed form, with one row of
+    each label added. The two folds' statistics depend on one another (each is trained on what the other is tested on), so their mean is taken for
     a standard normal variable, which it is if they are one and the same, and narrower than if not: the level holds in either case.
     """
-    codes, blocks, of = [], [np.ones((len(cells), 1))], [np.array([-1])]
-    for c in range(cells.shape[1]):
-        levels, code = np.unique(cells[:, c], return_inverse=True)
-        codes.append(code)
-        blocks.append((code[:, None] == np.arange(1, len(levels))[None, :]).astype(float))
-        of.append(np.full(len(levels) - 1, c))
-    x, of = np.hstack(blocks), np.concatenate(of)
-    areas: dict = {}
-    for part in (0, 1):
-        train, test = fold != part, fold == part
-        y, w, ty, tw = label[train], weight[train], label[test], weight[test]
-        if not 0 < y.sum() < len(y) or not 0 < ty.sum() < len(ty):
-            continue
-        beta = _newton(x[train], y, w, np.zeros(x.shape[1]), ridge, steps)
-        areas.setdefault("all", []).append(_auc(x[test] @ beta, ty, tw))
-        for c, code in enumerate(codes):
-            rest = of != c
-            less = x[:, rest]
-            areas.setdefault(("without", c), []).append(_auc(less[test] @ _newton(less[train], y, w, beta[rest], ridge, 2), ty, tw))
-            odds = _saturated(np.append(code[train], code.max()), np.append(y, -1), np.append(w, 0))[code[test]]
-            areas.setdefault(("alone", c), []).append(_auc(odds, ty, tw))
-            areas.setdefault(("beyond", c), []).append(_no_more_by_chance(odds, ty, tw))
-
-    def mean(name: object) -> float:
-        return float(np.mean(areas[name])) if name in areas else float("nan")
-
+    out = np.full((len(begins), cells.shape[1], 4), np.nan)
+    sizes, x, columns = ends - begins, _features(cells), cells.shape[1]
+    kind = np.ceil(np.log2(np.maximum(sizes, 16)) * 2).astype(int)
     normal = NormalDist()
-    return [(mean("all"), mean(("without", c)), mean(("alone", c)), 1 - normal.cdf(z) if (z := mean(("beyond", c))) == z else float("nan")) for c in range(len(codes))]
+    for k in np.unique(kind):
+        members = np.flatnonzero(kind == k)
+        step = max(1, FITTED // (int(sizes[members].max()) * x.shape[1] + 4 * columns * LEVELS**2))
+        for some in (members[i : i + step] for i in range(0, len(members), step)):
+            width = int(sizes[some].max())
+            at = begins[some][:, None] + np.arange(width)
+            inside = at < ends[some][:, None]
+            at = np.where(inside, at, 0)
+            y, w, f, xs, own = label[at], weight[at] * inside, fold[at], x[at], cells[at]
+            pair = np.arange(len(some))[:, None, None]
+            index = (((pair * 2 + f[:, :, None]) * 2 + y[:, :, None].astype(int)) * columns + np.arange(columns)) * LEVELS + own
+            counts = np.bincount(index.ravel(), np.repeat(w.ravel(), columns), len(some) * 4 * columns * LEVELS).reshape(len(some), 2, 2, columns, LEVELS)
+            areas, beyond = np.full((2, len(some), columns, 3), np.nan), np.full((2, len(some), columns), np.nan)
+            fine = (counts[:, :, :, 0].sum(-1) > 0).all((1, 2))  # both labels in both folds
+            for part in (0, 1):
+                odds = np.log((counts[:, 1 - part, 1] + 1) / (counts[:, 1 - part, 0] + 1))
+                areas[part, :, :, 2], beyond[part] = _alone(np.round(odds, 9), counts[:, part, 1], counts[:, part, 0])
+                train, test = w * (f != part), w * (f == part)
+                beta = _newton(xs, y, train, np.zeros((len(some), xs.shape[2])), ridge, steps)
+                areas[part, :, :, 0] = _areas((xs @ beta[:, :, None])[:, :, 0], test * y, test * (1 - y))[:, None]
+                for c in range(columns):
+                    rest = np.delete(np.arange(xs.shape[2]), np.arange(1 + 5 * c, 6 + 5 * c))
+                    less = xs[:, :, rest]
+                    found = _newton(less, y, train, beta[:, rest], ridge, 2)
+                    areas[part, :, c, 1] = _areas((less @ found[:, :, None])[:, :, 0], test * y, test * (1 - y))
+            z = beyond.mean(0)
+            p = np.array([1 - normal.cdf(v) for v in np.nan_to_num(z).ravel()]).reshape(z.shape)
+            out[some] = np.where(fine[:, None, None], np.concatenate([areas.mean(0), p[:, :, None]], -1), np.nan)
+    return out
 
 
 def _two_sample(rows: DataFrame, ranges: dict[str, tuple[float, float]], ridge: float = 1.0, steps: int = 4) -> DataFrame:
@@ -240,13 +262,11 @@ def _two_sample(rows: DataFrame, ranges: dict[str, tuple[float, float]], ridge:
                 waiting, begins, ends = rows.iloc[begins[-1] :], begins[:-1], ends[:-1]
             cells, fold, label, weight = rows[binned].to_numpy(), rows["_fold"].to_numpy(), rows["_y"].to_numpy(float), rows["_n"].to_numpy(float)
             entities, loads = rows["_entity"].to_list(), rows["_load"].to_list()
-            out = [
-                (entities[i], loads[i], name, *found)
-                for i, j in zip(begins, ends)
-                for name, found in zip(names, _discriminate(cells[i:j], fold[i:j], label[i:j], weight[i:j], ridge, steps))
-            ]
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+            if not len(begins):
+                continue
+            found = _discriminate(np.asarray(begins), np.asarray(ends), cells, fold, label, weight, ridge, steps)
+            out = [(entities[i], loads[i], name, *found[k, c]) for k, i in enumerate(begins) for c, name in enumerate(names)]
+            yield pd.DataFrame(out, columns=columns)
 
     schema = f"_entity {entity}, _load {load}, column_name string, auc double, auc_without double, auc_alone double, p_value double"
     return counts.repartition("_entity", "_load").sortWithinPartitions("_entity", "_load", *binned, "_fold", "_y").mapInPandas(train, schema)

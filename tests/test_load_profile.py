@@ -5,7 +5,7 @@ from statistics import median
 
 import numpy as np
 
-from millrace.operators.load_profile import LEVEL, _auc, _newton, _no_more_by_chance, load_changes, load_findings, profile_loads
+from millrace.operators.load_profile import LEVEL, _alone, _areas, _newton, load_changes, load_findings, profile_loads
 
 SCHEMA = "id long, inst string, load int, v double, w double, name string, _entity string, auc double"
 RANGES, PATTERNS = {"v": (0, 1), "w": (0, 100)}, {"name": r"\AP[0-9]\z"}
@@ -80,12 +80,12 @@ def test_regression_and_area():
     rng = np.random.default_rng(0)
     x = np.hstack([np.ones((4000, 1)), rng.normal(size=(4000, 2))])
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 1])))).astype(float)
-    beta = _newton(x, y, np.ones(4000), np.zeros(3), 1e-3, 12)
+    beta = _newton(x[None], y[None], np.ones((1, 4000)), np.zeros((1, 3)), 1e-3, 12)[0]
     assert np.allclose(beta, [0.5, 2, 0], atol=0.2)
     s, w = rng.integers(0, 5, 300).astype(float), rng.integers(1, 4, 300).astype(float)
     label = (rng.random(300) < 0.4).astype(float)
     pairs = [(wi * wj, (si > sj) + 0.5 * (si == sj)) for si, wi, li in zip(s, w, label) if li for sj, wj, lj in zip(s, w, label) if not lj]
-    assert abs(_auc(s, label, w) - sum(a * b for a, b in pairs) / sum(a for a, _ in pairs)) < 1e-9
+    assert abs(_areas(s[None], (w * label)[None], (w * (1 - label))[None])[0] - sum(a * b for a, b in pairs) / sum(a for a, _ in pairs)) < 1e-9
 
 
 def test_level_and_power_of_the_test(spark):
@@ -127,7 +127,17 @@ def test_permutations_by_brute_force():
     from itertools import combinations
     from statistics import NormalDist
 
-    score, label = np.array([1.0, 2, 2, 3, 5, 5, 7]), np.array([0.0, 0, 1, 0, 1, 0, 1])
-    chosen = [_auc(score, np.isin(np.arange(7), c).astype(float), np.ones(7)) for c in combinations(range(7), 3)]
-    share = np.mean([a >= _auc(score, label, np.ones(7)) - 1e-12 for a in chosen])
-    assert abs(NormalDist().cdf(_no_more_by_chance(score, label, np.ones(7))) - (1 - share)) < 1e-9
+    odds = np.array([1.0, 2, 3, 5, 5, 7])
+    ones, zeros = np.array([0.0, 1, 0, 0, 1, 1]), np.array([1.0, 1, 1, 1, 0, 0])
+    rows = np.repeat(odds, (ones + zeros).astype(int))
+
+    def area(chosen):
+        a, b = rows[list(chosen)], np.delete(rows, list(chosen))
+        return ((a[:, None] > b) + (a[:, None] == b) / 2).mean()
+
+    (got,), (z,) = _alone(odds[None], ones[None], zeros[None])
+    assert abs(got - area((2, 5, 6))) < 1e-9 or abs(got - area((1, 5, 6))) < 1e-9
+    share = np.mean([area(c) >= got - 1e-12 for c in combinations(range(7), 3)])
+    assert abs(NormalDist().cdf(float(z)) - (1 - share)) < 1e-9
+    (many,), (far,) = _alone(odds[None], 40 * ones[None], 40 * zeros[None])
+    assert abs(many - got) < 1e-9 and far > 5

@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.llm.mixing import mix_sources, split_blocks
+from millrace.llm.mixing import SHARD_BLOCKS, SplittingTree, mix_sources
 
 SCHEMA = "id long, src string, n long, shard int, _n long"
 
@@ -65,7 +66,7 @@ def test_total_and_order_within_shards(spark):
         places = [d.place for d in draws if d.shard == s]
         assert places == sorted(places) and places
     per = [sum(d.n_tokens for d in draws if d.shard == s) for s in range(5)]
-    assert max(per) < 3 * min(per)
+    assert max(per) < 1.4 * min(per)
 
 
 def test_partial_round_is_a_random_part(spark):
@@ -87,17 +88,39 @@ def test_equal_ids_have_places_of_their_own(spark, monkeypatch):
     assert sorted(map(str, draws)) == sorted(map(str, b.draws.collect()))
 
 
-def test_split_blocks():
+def test_splitting_tree():
     rng = random.Random(0)
     for shards in (1, 2, 7, 64):
         blocks = [rng.randint(0, 500) for _ in range(6)]
-        out = split_blocks(blocks, shards, 3)
+        tree = SplittingTree(blocks, shards, 3)
+        out = tree.table()
         assert out.sum(0).tolist() == blocks and (out >= 0).all()
         assert out.sum(1).max() - out.sum(1).min() <= 7
-        assert (out == split_blocks(blocks, shards, 3)).all()
-    means = np.mean([split_blocks([100, 300], 4, s)[0] for s in range(300)], axis=0)
+        source, block = np.array([(s, b) for s, n in enumerate(blocks) for b in range(n)]).T
+        order = np.random.default_rng(1).permutation(len(source))
+        got = np.zeros_like(out)
+        np.add.at(got, (SplittingTree(blocks, shards, 3).shards_of(source[order], block[order]), source[order]), 1)
+        assert (got == out).all()
+    means = np.mean([SplittingTree([100, 300], 4, s).table()[0] for s in range(300)], axis=0)
     assert np.allclose(means, [25, 75], atol=1)
-    assert split_blocks([], 3, 0).shape == (3, 0)
+    assert SplittingTree([], 3, 0).table().shape == (3, 0)
+
+
+@pytest.mark.parametrize("shards", [16, 1024])
+def test_shards_hold_the_mix(spark, shards):
+    """Sources of very different numbers of records; each shard has the same tokens and each source's share of them."""
+    want = {"a": 0.4, "b": 0.3, "c": 0.22, "d": 0.08}
+    kinds = F.expr("case when id < 120000 then 'a' when id < 190000 then 'b' when id < 199000 then 'c' else 'd' end")
+    df = spark.range(0, 200_000, 1, 4).select("id", kinds.alias("src"), (F.pmod(F.xxhash64("id"), F.lit(30)) + 5).alias("n"))
+    targets = spark.createDataFrame([(s, x, 9) for s, x in want.items()], "source string, target_share double, max_repeats int")
+    draws = mix_sources(df, "id", "src", "n", targets, shards=shards).draws
+    found = draws.groupBy("shard").pivot("source").sum("n_tokens").fillna(0).toPandas().set_index("shard")[list(want)]
+    total = found.sum(axis=1)
+    assert len(found) == shards and (total / total.mean()).between(0.9, 1.1).all()
+    longest = 2 * 35 / total.mean()
+    for s, x in want.items():
+        off = (found[s] / total - x).abs()
+        assert off.max() <= 5 * (x * (1 - x) / SHARD_BLOCKS) ** 0.5 + longest, (s, off.max())
 
 
 def test_edges(spark):

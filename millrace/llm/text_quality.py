@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,8 @@ def text_counts(df: DataFrame, text: str, keep: list[str], common_words: list[st
 
 # ---------------------------------------------------------------- tokens of a line by class
 
-#: Classes: function word, known word, unknown word, unreadable run, number, cell divider, item mark, sentence punctuation, symbol, short line.
-CLASSES = "FKXUNDBPSL"
+#: Classes: function word, known word, unknown word, unreadable run, number, cell divider, item mark, sentence punctuation, symbol, short line, said before in the text.
+CLASSES = "FKXUNDBPSLR"
 
 # Expected mixtures of classes (in hundredths) of lines that aren't prose, several for each form.
 STRUCTURES = {
@@ -75,6 +76,7 @@ STRUCTURES = {
         {"X": 88, "P": 8, "F": 4},
         {"S": 56, "X": 14, "U": 16, "F": 6, "N": 8},
         {"N": 96, "X": 4},
+        {"R": 84, "K": 8, "X": 4, "F": 4},
     ),
 }
 #: Prose of a language of which nothing was learnt.
@@ -86,8 +88,8 @@ _TOKEN = re.compile(
     r"(?P<cell></?(?:td|th|tr|table|tbody|thead)\b[^<>]*>)|(?P<item></?(?:li|ul|ol)\b[^<>]*>)|(?P<tag></?[a-zA-Z][^<>\s]*>)"
     r"|(?P<broken>(?:[ÂÃÅÎÏÐÑâãð][\u0080-¿]+)+|[�\u0000-\u0008\u0080-\u009f]+)"
     r"|(?P<na>\bn/a\b)"
-    r"|(?P<kana>[぀-ヿ㐀-鿿豈-﫿々]+)"
-    r"|(?P<word>[^\W_぀-ヿ㐀-鿿豈-﫿々]+(?:['’\-][^\W\d_぀-ヿ㐀-鿿]+)*)"
+    r"|(?P<kana>[぀-ヿ㐀-鿿\uf900-﫿々]+)"
+    r"|(?P<word>[^\W_぀-ヿ㐀-鿿\uf900-﫿々]+(?:['’\-][^\W\d_぀-ヿ㐀-鿿]+)*)"
     r"|(?P<end>[.!?…。！？,、:;：；\"'’“”«»„()（）「」¿¡]+)"
     r"|(?P<sign>[^\w\s]|_)",
     re.I,
@@ -99,6 +101,7 @@ _RULE = re.compile(r"\s*[|+][-=+|: ]{2,}\s*$|\s*[-=_]{3,}(?:\s+[-=_]{3,})*\s*$")
 _NUMBER = re.compile(r"\d[\d.,:]*")
 _DIVIDERS = (re.compile(r"\|"), re.compile(r"\t"), re.compile(r";"), re.compile(r",(?=\S)"), re.compile(r"(?<=\S) / (?=\S)"), re.compile(r"(?<=\S) {2,}(?=\S)"))
 _SENTENCE = re.compile(r"[.!?…。！？]")
+_ENDS = re.compile(r"[.!?…。！？][\"')»”’]*\s*$")
 _LINES = re.compile(r"[\r\n  ]+")
 
 
@@ -108,8 +111,8 @@ MARK, DIVIDER = 2.0, 1.5
 SHORT, LISTED = 5, 5.0
 
 
-#: Pieces of text that are kept with their classes.
-REMEMBERED = 50_000
+#: Pieces of text that are kept with their classes; texts are judged together up to so many characters.
+REMEMBERED, TOGETHER = 50_000, 2_000_000
 
 
 @lru_cache(REMEMBERED)
@@ -144,8 +147,15 @@ class Language:
         return ("U", max(1.0, len(token) / 6)) if _shape(token) else ("X", 1.0)
 
 
+def _may_divide(line: str) -> bool:
+    """Whether a line has anything of which dividers of cells are made; nearly no prose has."""
+    return "|" in line or "\t" in line or ";" in line or "  " in line or " / " in line or "," in line and line.count(",") != line.count(", ")
+
+
 def _divider(line: str) -> tuple[int, int]:
     """How many dividers of cells a line has (0 if fewer than two of a kind divide it, or it reads on), and which kind."""
+    if not _may_divide(line):
+        return 0, -1
     for k, divider in enumerate(_DIVIDERS):
         n = len(divider.findall(line))
         if n < 2 - (k in (1,)):
@@ -234,7 +244,7 @@ def line_classes(line: str, language: Language) -> dict[str, float]:
             words += own[0]
             for kind, weight in own[1]:
                 out[kind] += weight
-    if 0 < words <= SHORT and not out["D"] and out["P"] <= 1 and not re.search(r"[.!?…。！？][\"')»”’]*\s*$", line):
+    if 0 < words <= SHORT and not out["D"] and out["P"] <= 1 and not _ENDS.search(line):
         # Only counts where several such lines follow one another.
         out["L"] = LISTED * (1 - words / (SHORT + 1)) + 0.5 * out["X"]
     return out
@@ -297,58 +307,145 @@ def fresh_runs(words: list[str], run: int, near: int) -> int:
     return len(runs) - sum(said)
 
 
-def says_again(words: list[str]) -> bool:
-    """Whether a text says the same over and over, in four rounds or more. Only what is near, or comes in rounds, counts, so that
+def _is_character(word: str) -> bool:
+    return len(word) == 1 and ("\u3040" <= word <= "\u30ff" or "\u3400" <= word <= "\u9fff")
+
+
+def _may_say_again(n: np.ndarray, distinct: np.ndarray, characters: np.ndarray) -> np.ndarray:
+    """Where :func:`said_again` has to look: a word begins a fresh run where it first occurs, but for the last few."""
+    run = np.where(characters * 2 > n, OVER[True][0], OVER[False][0])
+    return (n >= OVER[False][2]) & (distinct - run + 1 <= (1 - OVER_SHARE) * n)
+
+
+def said_again(words: list[str]) -> float:
+    """The share of a text that is said again if it says the same over and over, in four rounds or more, else 0. Only what is near, or comes in rounds, counts, so that
     prose of any length, which says many a thing again, doesn't."""
-    n = len(words)
-    if n < OVER[False][2] or n <= OVER[False][1] and (len(set(words)) - OVER[True][0]) > (1 - OVER_SHARE) * n:
-        return False  # the latter: each word but a few begins a fresh run
-    run, near, least = OVER[sum([len(w) == 1 and ("\u3040" <= w <= "\u30ff" or "\u3400" <= w <= "\u9fff") for w in words]) * 2 > n]
-    return n >= least and fresh_runs(words, min(run, n // 3), near) <= (1 - OVER_SHARE) * n
+    n, characters = len(words), sum(map(_is_character, words))
+    if not _may_say_again(n, len(set(words)), characters):
+        return 0.0
+    run, near, least = OVER[characters * 2 > n]
+    fresh = fresh_runs(words, min(run, n // 3), near)
+    return 1 - fresh / n if n >= least and fresh <= (1 - OVER_SHARE) * n else 0.0
+
 
+class _Numbers(dict):
+    """Numbers of things, in the order in which they are first asked for."""
 
-class Voices:
-    """Which languages a word speaks for: twice for a function word, once for a known word."""
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def _more(table: np.ndarray, n: int) -> np.ndarray:
+    """A table with room for n rows."""
+    if len(table) >= n:
+        return table
+    out = np.zeros((max(n, 2 * len(table)), *table.shape[1:]), table.dtype)
+    out[: len(table)] = table
+    return out
+
+
+class Pieces:
+    """Numbers of the pieces of texts between white space, and what is known of each: its words, the languages that these speak for, and by language the weights of its tokens.
+
+    No token but a tag holds white space, so pieces are looked at for themselves, each once however often it occurs; what lines and texts are made of are sums over pieces.
+    """
 
     def __init__(self, languages: dict[str, Language]) -> None:
-        self.names = sorted(languages)
-        self.of: dict[str, list[tuple[int, int]]] = {}
-        self.kept: dict[str, list[str]] = {}
+        self.languages, self.names = languages, sorted(languages)
+        self.speaks: dict[str, list[tuple[int, int]]] = {}  # a word: twice for a language as a function word, once as a known word
         for i, name in enumerate(self.names):
             own = languages[name]
             for w in own.function | own.words:
-                self.of.setdefault(w, []).append((i, 2 * (w in own.function) + (w in own.words)))
-
-    def words(self, text: str) -> list[str]:
-        """``_words``; none holds white space, so those of pieces between white space are kept for later texts."""
-        out: list[str] = []
-        for piece in text.split():
-            own = self.kept.get(piece)
-            if own is None:
-                own = _words(piece)
-                if len(piece) <= 32:
-                    if len(self.kept) >= REMEMBERED:
-                        self.kept.clear()
-                    self.kept[piece] = own
-            out += own
+                self.speaks.setdefault(w, []).append((i, 2 * (w in own.function) + (w in own.words)))
+        self.scripts = frozenset({"CJK", *(script(w[0]) for x in languages.values() for w in x.function if w)})
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.words = _Numbers(), _Numbers()
+        self.pieces: list[str] = []
+        self.word_list: list[str] = []
+        self.first, self.of_piece, self.n_of = np.zeros(1025, np.int64), np.zeros(1024, np.int64), 0
+        self.votes, self.function = np.zeros((1024, len(self.names))), np.zeros((1024, len(self.names)), bool)
+        self.strange, self.character = np.zeros(1024, bool), np.zeros(1024, bool)
+        self.known: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+
+    def number(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces. Earlier numbers are void if too many are known by then."""
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        old = len(self.numbers)
+        out = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        new = list(islice(self.numbers, old, None))
+        self.pieces += new
+        found = list(map(_words, new))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + self.n_of
+        self.first = _more(self.first, old + len(new) + 1)
+        self.first[old + 1 : old + len(new) + 1] = ends
+        flat = list(chain.from_iterable(found))
+        self.of_piece = _more(self.of_piece, self.n_of + len(flat))
+        was = len(self.words)
+        self.of_piece[self.n_of : self.n_of + len(flat)] = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        self.n_of += len(flat)
+        fresh = list(islice(self.words, was, None))
+        self.word_list += fresh
+        self.votes, self.function, self.strange, self.character = (_more(t, was + len(fresh)) for t in (self.votes, self.function, self.strange, self.character))
+        for k, w in enumerate(fresh, was):
+            for i, n in self.speaks.get(w, ()):
+                self.votes[k, i] = n
+                self.function[k, i] = n > 1
+            self.strange[k] = script(w[0]) not in self.scripts
+            self.character[k] = _is_character(w)
         return out
 
-    def best(self, words: list[str]) -> str | None:
-        """The language with the most voices among the words; null where there is none."""
-        votes, of = [0] * len(self.names), self.of
-        for w in words:
-            for i, n in of.get(w, ()):
-                votes[i] += n
-        top = max(range(len(votes)), key=lambda i: (votes[i], i), default=None)
-        return self.names[top] if top is not None and votes[top] else None
+    def words_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of pieces one after the other, by number, and how many each piece has."""
+        begin, end = self.first[numbers], self.first[numbers + 1]
+        n = end - begin
+        return self.of_piece[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+    def best(self, words: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        """The language with the most voices among the words of each group; -1 where there is none."""
+        votes = self.totals(self.votes, words, group, groups)
+        if not len(self.names):
+            return np.full(groups, -1)
+        top = len(self.names) - 1 - votes[:, ::-1].argmax(1)
+        return np.where(votes.max(1) > 0, top, -1)
+
+    def totals(self, table: np.ndarray, words: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        return np.array([np.bincount(group, table[words, i], groups) for i in range(len(self.names))]).T.reshape(groups, len(self.names))
+
+    def weights(self, numbers: np.ndarray, name: str | None, language: Language) -> np.ndarray:
+        """The weights of the classes of each piece in a language, and last its words."""
+        table, done = self.known.get(name, (np.zeros((1024, len(CLASSES) + 1)), np.zeros(1024, bool)))
+        table, done = _more(table, len(self.numbers)), _more(done, len(self.numbers))
+        self.known[name] = table, done
+        for k in np.unique(numbers[~done[numbers]]).tolist():
+            counts = dict.fromkeys(CLASSES, 0.0)
+            words = _tokens(self.pieces[k], language, counts, False)
+            table[k] = [*counts.values(), words]
+        done[numbers] = True
+        return table[numbers]
+
+
+def _distinct(words: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """How many different words each group has."""
+    if not len(words):
+        return np.zeros(groups, np.int64)
+    pairs = np.sort(group * (int(words.max()) + 1) + words)
+    fresh = np.append(True, pairs[1:] != pairs[:-1])
+    return np.bincount(pairs[fresh] // (int(words.max()) + 1), minlength=groups)
+
+
+def _plain(line: str) -> bool:
+    """Whether a line is the sum of its pieces: without tags, dividers of cells and marks."""
+    return not (_may_divide(line) or "<" in line or _MARK.match(line) or _RULE.match(line))
 
 
 #: Tokens' worth of prose that is added to a line, so that a word or two decide nothing.
 PRIOR = 3.0
 #: The name of what is written in a script of no known language.
 FOREIGN = "\0foreign"
-#: Texts of less weight are never junk: there is too little to tell.
-LEAST_JUNK = 4.0
 #: Words of a line that is too long for an item of a list.
 LONG_LINE = 10
 
@@ -357,17 +454,17 @@ class Judge:
     """Tells the form of texts by the profiles of languages and of other structures."""
 
     def __init__(self, languages: dict[str, Language]) -> None:
-        self.languages, self.voices = languages, Voices(languages)
+        self.languages, self.pieces = languages, Pieces(languages)
         self.any = Language(frozenset(), frozenset().union(*(x.words for x in languages.values())))
-        self.scripts = frozenset({"CJK", *(script(w[0]) for x in languages.values() for w in x.function if w)})
-        self.foreign = Language(frozenset(), self.any.words, scripts=self.scripts)
-        self.forms = [f for f, profiles in STRUCTURES.items() for _ in profiles]
+        self.foreign = Language(frozenset(), self.any.words, scripts=self.pieces.scripts)
+        self.all = {**languages, None: self.any, FOREIGN: self.foreign}
+        self.forms = ["prose", *(f for f, profiles in STRUCTURES.items() for _ in profiles)]
         others = [_vector(p) for profiles in STRUCTURES.values() for p in profiles]
-        self.profiles = {name: np.vstack([_vector(x.prose), *others]) for name, x in [*languages.items(), (None, self.any), (FOREIGN, self.foreign)]}
+        self.profiles = {name: np.vstack([_vector(x.prose), *others]) for name, x in self.all.items()}
 
     def is_foreign(self, words: list[str]) -> bool:
         """Whether more than half of the words are in one script that no known language has."""
-        found = Counter([x for x in map(script, [w[0] for w in words]) if x not in self.scripts])
+        found = Counter([x for x in map(script, [w[0] for w in words]) if x not in self.pieces.scripts])
         return bool(found) and max(found.values()) * 2 > len(words)
 
     def __call__(self, text: str | None) -> tuple[str, int, int, float, float]:
@@ -376,61 +473,119 @@ class Judge:
         return self.many([text])[0]
 
     def many(self, texts: list[str | None]) -> list[tuple[str, int, int, float, float]]:
-        """The forms of texts; the divergences of all lines of a language are computed at once."""
+        """The forms of texts, a few million characters at a time."""
+        out: list = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= TOGETHER):
+                size += len(texts[end] or "")
+                end += 1
+            out += self._some(texts[at:end])
+            at = end
+        return out
+
+    def _away(self, weights: np.ndarray, name: str | None) -> np.ndarray:
+        """The divergence of each line from each profile."""
+        seen = weights + PRIOR * self.profiles[name][0]
+        seen /= seen.sum(1, keepdims=True)
+        return np.concatenate([_divergence(seen[k : k + 20_000], self.profiles[name]) for k in range(0, len(seen), 20_000)])
+
+    def _some(self, texts: list[str | None]) -> list[tuple[str, int, int, float, float]]:
         out: list = [("blank", 0, 0, 0.0, 0.0)] * len(texts)
-        read, rows = [], {name: [] for name in self.profiles}
+        lines: list[str] = []
+        read, sizes = [], []
         for i, text in enumerate(texts):
-            text = _clean(text or "")
-            lines = [x for x in _LINES.split(text) if x.strip()]
-            if not lines:
+            own = [x for x in _LINES.split(_clean(text)) if x.strip()] if text else []
+            if own:
+                lines += own
+                read.append(i)
+                sizes.append(len(own))
+        if not read:
+            return out
+        n_texts, n_lines = len(read), np.array(sizes)
+        text_of = np.repeat(np.arange(n_texts), n_lines)
+        begin = np.cumsum(n_lines) - n_lines
+        split = list(map(str.split, lines))
+        in_line = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = self.pieces.number(list(chain.from_iterable(split)))
+        line_of = np.repeat(np.arange(len(lines)), in_line)
+        words, in_piece = self.pieces.words_of(numbers)
+        word_text = np.repeat(text_of[line_of], in_piece)
+        n_words = np.bincount(word_text, minlength=n_texts)
+        word_at = np.cumsum(n_words) - n_words
+
+        def words_of(t: int) -> list[str]:
+            return [self.pieces.word_list[w] for w in words[word_at[t] : word_at[t] + n_words[t]].tolist()]
+
+        names = [*self.pieces.names, None]
+        language = [names[k] for k in self.pieces.best(words, word_text, n_texts).tolist()]
+        strange = np.bincount(word_text, self.pieces.strange[words], n_texts) * 2 > n_words
+        for t in np.flatnonzero(strange).tolist():
+            if self.is_foreign(words_of(t)):
+                language[t] = FOREIGN
+        weights = self._weigh(lines, text_of, language, numbers, line_of)
+
+        away = np.zeros((len(lines), len(self.forms)))
+        of_line = np.array([list(self.all).index(n) for n in language])[text_of]
+        for k, name in enumerate(self.all):
+            if (some := np.flatnonzero(of_line == k)).size:
+                away[some] = self._away(weights[some], name)
+        kinds = ["prose", "table", "list", "junk"]  # of as many lines, a table goes before a list, and that before junk
+        nearest = np.array([kinds.index(f) for f in self.forms])[away.argmin(1)]
+        counts = np.bincount(text_of * 4 + nearest, minlength=4 * n_texts).reshape(-1, 4)
+        off = counts[:, 1:].sum(1)
+        form = np.where(off * 2 > n_lines, counts[:, 1:].argmax(1) + 1, 0)
+        far, near = np.add.reduceat(away[:, 0], begin) / n_lines, np.add.reduceat(away[:, 1:].min(1), begin) / n_lines
+
+        for t in np.flatnonzero(((form == 0) | (form == 2)) & _may_say_again(n_words, _distinct(words, word_text, n_texts), np.bincount(word_text, self.pieces.character[words], n_texts))).tolist():
+            again = said_again(words_of(t))
+            if not again:
                 continue
-            words = self.voices.words(text)
-            if not text.isascii() and self.is_foreign(words):
-                # Marks are parts of words, but not in the pattern of tokens.
-                name, own = FOREIGN, self.foreign
-                lines = ["".join([c for c in x if unicodedata.category(c)[0] != "M"]) for x in lines]
-            else:
-                name = self.voices.best(words)
-                own = self.languages.get(name, self.any)
-            weights = self.weigh(lines, own)
-            read.append((i, name, len(rows[name]), lines, words, weights))
-            rows[name] += [list(w.values()) for w in weights]
-        away = {}
-        for name, found in rows.items():
-            if found:
-                seen = np.array(found) + PRIOR * self.profiles[name][0]
-                seen /= seen.sum(1, keepdims=True)
-                away[name] = np.concatenate([_divergence(seen[k : k + 20_000], self.profiles[name]) for k in range(0, len(seen), 20_000)])
-        for i, name, at, lines, words, weights in read:
-            out[i] = self.decide(lines, words, weights, away[name][at : at + len(lines)])
+            own = slice(begin[t], begin[t] + n_lines[t])
+            marked = (weights[own, CLASSES.index("B")] > 0).sum() * 2 > n_lines[t]
+            if form[t] == 2 and (marked or max(len(_words(x)) for x in lines[own]) < LONG_LINE):
+                continue
+            # What is said again is a class of its own, in all lines alike.
+            told = weights[own] * (1 - again)
+            told[:, CLASSES.index("R")] = again * weights[own].sum(1)
+            away_again = self._away(told, language[t])
+            nearest = [self.forms[k] for k in away_again.argmin(1).tolist()]
+            if nearest.count("junk") * 2 > n_lines[t]:
+                form[t], off[t], far[t], near[t] = 3, nearest.count("junk"), away_again[:, 0].mean(), away_again[:, 1:].min(1).mean()
+        for t, row in enumerate(zip(form.tolist(), n_lines.tolist(), off.tolist(), far.tolist(), near.tolist())):
+            out[read[t]] = (kinds[row[0]], *row[1:])
         return out
 
-    @staticmethod
-    def weigh(lines: list[str], language: Language) -> list[dict[str, float]]:
+    def _weigh(self, lines: list[str], text_of: np.ndarray, language: list, numbers: np.ndarray, line_of: np.ndarray) -> np.ndarray:
         """Weights of the classes of each line. A run of short or marked lines is evidence of a list, a short line by itself isn't."""
-        weights = [line_classes(x, language) for x in lines]
-        short, i = [w["L"] > 0 or w["B"] > 0 for w in weights], 0
-        while i < len(lines):
-            j = i
-            while j < len(lines) and short[j]:
-                j += 1
-            if j - i < 3:
-                for w in weights[i:j]:
-                    w["L"] = 0.0
-            i = max(j, i + 1)
-        return weights
-
-    def decide(self, lines: list[str], words: list[str], weights: list[dict[str, float]], away: np.ndarray) -> tuple[str, int, int, float, float]:
-        found = Counter(self.forms[k - 1] for k in away.argmin(1).tolist() if k)
-        off = sum(found.values())
-        form = max(found, key=lambda f: (found[f], f == "table", f == "list")) if off * 2 > len(lines) else "prose"
-        if form == "junk" and sum(sum(w.values()) for w in weights) < LEAST_JUNK:
-            form = "prose"
-        if form in ("prose", "list") and says_again(words):
-            marked = sum(w["B"] > 0 for w in weights) * 2 > len(lines)
-            if form == "prose" or not marked and max(len(_words(x)) for x in lines) >= LONG_LINE:
-                form, off = "junk", len(lines)
-        return form, len(lines), off, float(away[:, 0].mean()), float(away[:, 1:].min(1).mean())
+        weights = np.zeros((len(lines), len(CLASSES) + 1))
+        foreign = np.array([n == FOREIGN for n in language])
+        plain = np.fromiter(map(_plain, lines), bool, len(lines)) & ~foreign[text_of]
+        index = {name: k for k, name in enumerate(self.all)}
+        of_line = np.array([index[n] for n in language])[text_of]
+        in_plain = plain[line_of]
+        of_piece = of_line[line_of]
+        for name, k in index.items():
+            some = np.flatnonzero(in_plain & (of_piece == k))
+            if some.size:
+                found = self.pieces.weights(numbers[some], name, self.all[name])
+                starts = np.flatnonzero(np.append(True, line_of[some][1:] != line_of[some][:-1]))
+                weights[line_of[some][starts]] = np.add.reduceat(found, starts)
+        at = {c: i for i, c in enumerate(CLASSES)}
+        words = weights[:, -1]
+        for i in np.flatnonzero(plain & (words > 0) & (words <= SHORT) & (weights[:, at["P"]] <= 1)).tolist():
+            if not _ENDS.search(lines[i]):
+                weights[i, at["L"]] = LISTED * (1 - words[i] / (SHORT + 1)) + 0.5 * weights[i, at["X"]]
+        for i in np.flatnonzero(~plain).tolist():
+            name = language[text_of[i]]
+            # Marks of letters are parts of words, but not in the pattern of tokens.
+            line = "".join([c for c in lines[i] if unicodedata.category(c)[0] != "M"]) if name == FOREIGN else lines[i]
+            weights[i, :-1] = list(line_classes(line, self.all[name]).values())
+        short = (weights[:, at["L"]] > 0) | (weights[:, at["B"]] > 0)
+        run = np.cumsum(np.append(True, (text_of[1:] != text_of[:-1]) | (short[1:] != short[:-1]))) - 1
+        weights[np.bincount(run)[run] < 3, at["L"]] = 0.0
+        return weights[:, :-1]
 
 
 # ---------------------------------------------------------------- learning of the languages' prose
@@ -445,7 +600,7 @@ TEACH_WORDS, TEACH_SHARE = 6, 0.12
 def _teach(batches: Iterator[pa.RecordBatch], function: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
     """Counts over lines that are surely prose: (language, kind, item, weight)."""
     languages = {n: Language(frozenset(w)) for n, w in function.items()}
-    voices = Voices(languages)
+    pieces = Pieces(languages)
     found = {n: (Counter(), Counter()) for n in languages}  # words; lines and classes
 
     def flush() -> pa.RecordBatch:
@@ -456,24 +611,55 @@ def _teach(batches: Iterator[pa.RecordBatch], function: dict[str, list[str]]) ->
         columns = list(zip(*rows)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.float64()))], names=["lang", "kind", "item", "weight"])
 
+    def read(lines: list[str]) -> None:
+        split = list(map(str.split, lines))
+        in_line = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = pieces.number(list(chain.from_iterable(split)))
+        line_of = np.repeat(np.arange(len(lines)), in_line)
+        words, in_piece = pieces.words_of(numbers)
+        word_line = np.repeat(line_of, in_piece)
+        n_words = np.bincount(word_line, minlength=len(lines))
+        best = pieces.best(words, word_line, len(lines))
+        functions = pieces.totals(pieces.function, words, word_line, len(lines))[np.arange(len(lines)), best] if languages else n_words * 0
+        good = (best >= 0) & (n_words >= TEACH_WORDS) & (functions >= TEACH_SHARE * n_words)
+        again = _may_say_again(n_words, _distinct(words, word_line, len(lines)), np.bincount(word_line, pieces.character[words], len(lines)))
+        at = np.cumsum(n_words) - n_words
+        for i in np.flatnonzero(good).tolist():
+            line = lines[i]
+            good[i] = bool(_SENTENCE.search(line)) and not _MARK.match(line) and not _divider(line)[0]
+            if good[i] and again[i]:
+                good[i] = not said_again([pieces.word_list[w] for w in words[at[i] : at[i] + n_words[i]].tolist()])
+        whole = good & np.fromiter(("<" not in x for x in lines), bool, len(lines))
+        for k, name in enumerate(pieces.names):
+            own = best == k
+            known, rest = found[name]
+            mine = (good & own)[word_line]
+            if not mine.any():
+                continue
+            pairs = np.unique(word_line[mine] * len(pieces.word_list) + words[mine]) % len(pieces.word_list)
+            which, n = np.unique(pairs, return_counts=True)
+            known.update(dict(zip([pieces.word_list[w] for w in which.tolist()], n.tolist())))
+            rest["lines"] += int((good & own).sum())
+            sums = pieces.weights(numbers[(whole & own)[line_of]], name, languages[name]).sum(0)[:-1]
+            for i in np.flatnonzero(good & own & ~whole).tolist():
+                sums = sums + np.array(list(line_classes(lines[i], languages[name]).values()))
+            for c, x in zip(CLASSES, sums.tolist()):
+                if x and c != "L":
+                    rest[c] += x
+
     for batch in batches:
+        lines: list[str] = []
+        size = 0
         for text in batch.column(0).to_pylist():
             for line in _LINES.split(_clean(text or "")):
-                words = voices.words(line)
-                if len(words) < TEACH_WORDS or not _SENTENCE.search(line) or _MARK.match(line) or _divider(line)[0]:
-                    continue
-                name = voices.best(words)
-                if name is None or says_again(words):
-                    continue
-                function = languages[name].function
-                if sum([w in function for w in words]) < TEACH_SHARE * len(words):
-                    continue
-                known, rest = found[name]
-                known.update(set(words))
-                rest["lines"] += 1
-                for c, x in line_classes(line, languages[name]).items():
-                    if x and c != "L":
-                        rest[c] += x
+                if line.strip():
+                    lines.append(line)
+                    size += len(line)
+            if size > TOGETHER:
+                read(lines)
+                lines, size = [], 0
+        if lines:
+            read(lines)
         if sum(len(words) for words, _ in found.values()) > 200_000:
             yield flush()
     yield flush()

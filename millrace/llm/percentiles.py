@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from millrace.llm.rank_sketch import ColumnSketch, section_size
 
-#: Numbers that a task holds in sketches before it hands them on: 2 million are 16 MB.
-HELD = 2_000_000
+#: Bytes that a task holds in sketches, objects included, before it hands them on.
+HELD = 64_000_000
+#: Tasks that read a table, from which on their sketches are merged in two rounds: one takes a task a second or so for each key.
+MANY = 10_000
 #: Sketches in an output batch of a task.
 BATCH = 2_000
 
@@ -36,10 +38,9 @@ def _build(batches: Iterator[pd.DataFrame], keys: list[str], values: list[str],
     held = 0
 
     def flush() -> Iterator[pd.DataFrame]:
-        rows = [(*key, s.n, part, s.to_bytes()) for key, s in sketches.items()]
-        sketches.clear()
-        for i in range(0, len(rows), BATCH):
-            yield pd.DataFrame(rows[i : i + BATCH], columns=[*keys, "column_name", "n", "part", "sketch"])
+        while sketches:
+            some = [sketches.popitem() for _ in range(min(BATCH, len(sketches)))]
+            yield pd.DataFrame([(*key, s.n, part, s.to_bytes()) for key, s in some], columns=[*keys, "column_name", "n", "part", "sketch"])
 
     for pdf in batches:
         columns = {v: pdf[v].to_numpy(dtype=float, na_value=np.nan) for v in values}
@@ -53,12 +54,13 @@ def _build(batches: Iterator[pd.DataFrame], keys: list[str], values: list[str],
                     s = sketches.get((*key, v))
                     if s is None:
                         s = sketches[*key, v] = ColumnSketch(k, protect)
-                    held -= len(s)
+                    else:
+                        held -= s.held()
                     s.update(x)
-                    held += len(s)
-        if held > HELD:
-            yield from flush()
-            held, part = 0, part + 1
+                    held += s.held()
+            if held > HELD:
+                yield from flush()
+                held, part = 0, part + 1
     yield from flush()
 
 
@@ -82,21 +84,27 @@ def _merge(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
         yield pd.DataFrame([*out, (*now, sketch.n, part, sketch.to_bytes())], columns=columns)
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str], fan_in: int = 256) -> DataFrame:
+def merge_sketches(sketches: DataFrame, keys: list[str], many: bool = False, fan_in: int = 256) -> DataFrame:
     """Put sketches of days, files or partitions together: one for each of ``keys`` and column.
 
-    Sketches from more than ``fan_in`` partitions are merged in two rounds, so that no task merges one of every partition.
-    The order of merging is fixed, so the result is the same in every run.
+    ``many``: a key has sketches of so many partitions that one task shouldn't merge them one after the other; ``fan_in`` tasks for each key do so first.
+    The order of merging follows the partitions that the sketches were made in, so a run over the same partitions gives the same result; over others it may differ, within the error.
     """
     names = [*keys, "column_name"]
     out = sketches.select(*names, "n", "part", "sketch")
     first = [F.shiftright("part", 20) % fan_in]
-    for salt in ([first, []] if sketches.rdd.getNumPartitions() > fan_in else [[]]):
+    for salt in [first, []] if many else [[]]:
         order = [*names, *salt, "part", "n", F.xxhash64("sketch")]
         out = out.repartition(*names, *salt).sortWithinPartitions(*order).mapInPandas(partial(_merge, keys=keys), _schema(sketches, keys))
     return out
 
 
+def _scanned_parts(df: DataFrame) -> float:
+    """About how many tasks read a table, by the size that the planner estimates; no job is run."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size / df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
 def sketch_columns(df: DataFrame, keys: list[str], values: list[str], eps: float = 0.01, protect: str = "both") -> DataFrame:
     """Sketch numeric columns for each of ``keys``.
 
@@ -114,7 +122,7 @@ def sketch_columns(df: DataFrame, keys: list[str], values: list[str], eps: float
     """
     src = df.select(*[df[k] for k in keys], *[df[v].cast("double").alias(v) for v in values])
     build = partial(_build, keys=keys, values=values, protect=protect, k=section_size(eps))
-    return merge_sketches(src.mapInPandas(build, _schema(src, keys)), keys)
+    return merge_sketches(src.mapInPandas(build, _schema(src, keys)), keys, many=_scanned_parts(src) > MANY)
 
 
 def _read(batches: Iterator[pd.DataFrame], keys: list[str], shares: dict[str, float]) -> Iterator[pd.DataFrame]:

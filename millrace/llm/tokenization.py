@@ -7,6 +7,7 @@ import re
 import sys
 from collections.abc import Iterator
 from functools import partial
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class ForcedBoundaryEncoder:
             b = np.frombuffer(token, np.uint8)
             self.inside[b[:-1], b[1:]] = True
         self._words = re.compile(self._word_pattern()).findall
-        self._odd = re.compile(f"[{_OTHER_SPACE}]").search
+        self._odd = re.compile(f"[{_OTHER_SPACE}]").finditer
         self._kept: dict[str, list[int]] = {}
 
     def _word_pattern(self) -> str:
@@ -69,13 +70,20 @@ class ForcedBoundaryEncoder:
     def _cut(self, fragment: str) -> list[str]:
         """A fragment cut at the forced boundaries that lie between characters that aren't white space."""
         data = fragment.encode()
-        if len(data) <= LONG or self._odd(fragment):
+        if len(data) <= LONG:
             return [fragment]
         b = np.frombuffer(data, np.uint8)
         left, right = b[:-1], b[1:]
-        safe = ~self.inside[left, right] & ((right & 0xC0) != 0x80)
+        begins = (b & 0xC0) != 0x80
+        safe = ~self.inside[left, right] & begins[1:]
         for side in (left, right):
             safe &= (side > 32) & (side != 39)
+        odd = [m.start() for m in self._odd(fragment)]
+        if odd:
+            at = np.append(np.flatnonzero(begins), len(b))
+            for edge in (at[odd], at[np.array(odd) + 1]):  # where such a character begins and where it ends
+                edge = edge[(edge > 0) & (edge < len(b))]
+                safe[edge - 1] = False
         at = np.flatnonzero(safe) + 1
         return [data[i:j].decode() for i, j in zip([0, *at], [*at, len(data)])]
 
@@ -95,9 +103,13 @@ class ForcedBoundaryEncoder:
         return out
 
 
+def _kept_here(name: str) -> dict:
+    """What this process keeps for later tasks. Functions travel with the job, and with them copies of this module's globals; a module of its own stays."""
+    return sys.modules.setdefault("_millrace_kept", ModuleType("_millrace_kept")).__dict__.setdefault(name, {})
+
+
 def _encoder(vocabulary: str, pattern: str) -> ForcedBoundaryEncoder:
-    """This process's encoder; workers are used again by later tasks."""
-    ready = sys.__dict__.setdefault("_millrace_encoders", {})
+    ready = _kept_here("encoders")
     if (vocabulary, pattern) not in ready:
         ready[vocabulary, pattern] = ForcedBoundaryEncoder(vocabulary, pattern)
     return ready[vocabulary, pattern]
@@ -131,7 +143,7 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VO
 
 
 def _texts(batches: Iterator[pa.RecordBatch], vocabulary: str, names: list[str]) -> Iterator[pa.RecordBatch]:
-    ready = sys.__dict__.setdefault("_millrace_tokens", {})
+    ready = _kept_here("tokens")
     if vocabulary not in ready:
         with open(vocabulary, "rb") as lines:
             ready[vocabulary] = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}

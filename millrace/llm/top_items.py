@@ -21,8 +21,8 @@ def top_items(
     Equal scores are ranked by the smaller ``tie``. The scores are range-partitioned into descending bands: the top band holds about the first
     of ``shares`` of all rows, the last the rest. The bands are written once, without a shuffle, and processed from the top:
 
-    * groups already filled are dropped by an anti-join: before any sorting where they take at most ``broadcast_bytes`` (measured first), else
-      after the trim below, partitioned by group on both sides;
+    * groups already filled are dropped by an anti-join before any sorting: all of them where they take at most ``broadcast_bytes`` (measured first), else as
+      many of those with the most rows as do; the rest, small groups then, is dropped after the trim below, partitioned by group on both sides;
     * what remains of a band is ranked exactly by (score, tie) and trimmed to ``n`` rows a group in each task before the shuffle
       (Spark's window group limit), so a group with a third of all rows never meets in one task;
     * ranks continue after the rows that the group has from higher bands; a group fills up in its boundary band.
@@ -55,17 +55,22 @@ def top_items(
     kept: list[DataFrame] = []
     try:
         have: DataFrame | None = None
+        sizes: DataFrame | None = None
         for b in range(len(limits) + 1):
             part = bands.read().where(F.col("_band") == b).drop("_band")
             if have is None:
                 top = trimmed(part).withColumn("rank_no", F.col("_r"))
             else:
                 filled = have.where(F.col("_have") >= n).select("_g")
-                size = filled.agg(F.sum(F.octet_length(F.col("_g").cast("string")) + 64)).first()[0] or 0
-                if size <= broadcast_bytes:
+                each = F.octet_length(F.col("_g").cast("string")) + 64
+                size, longest = filled.agg(F.sum(each), F.max(each)).first()
+                if (size or 0) <= broadcast_bytes:
                     top = trimmed(part.join(F.broadcast(filled), "_g", "left_anti"))
                 else:
-                    top = trimmed(part).join(filled, "_g", "left_anti")
+                    if sizes is None:
+                        sizes = cut(bands.read().groupBy("_g").agg(F.count("*").alias("_rows")))
+                    large = filled.join(sizes, "_g").orderBy(F.col("_rows").desc()).limit(broadcast_bytes // longest).select("_g")
+                    top = trimmed(part.join(F.broadcast(large), "_g", "left_anti")).join(filled, "_g", "left_anti")
                 top = top.join(have, "_g", "left").withColumn("rank_no", F.col("_r") + F.coalesce("_have", F.lit(0))).where(F.col("rank_no") <= n)
             kept.append(cut(top.select("_g", F.col("rank_no").cast("int").alias("rank_no"), "_t", "_x")))
             have = reduce(DataFrame.unionByName, kept).groupBy("_g").agg(F.max("rank_no").alias("_have"))

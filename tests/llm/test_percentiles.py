@@ -91,14 +91,14 @@ def test_by_group_and_day(spark):
     days = sketch_columns(df, ["day", "chrom"], ["v", "none"], 0.02)
     assert {r.column_name for r in days.select("column_name").distinct().collect()} == {"v"}
     shares = {f"p{i}": s for i, s in enumerate(SHARES)}
-    whole = percentiles(merge_sketches(days, ["chrom"], fan_in=2), ["chrom"], shares).collect()
+    whole = percentiles(merge_sketches(days, ["chrom"], many=True, fan_in=2), ["chrom"], shares).collect()
     assert {r.chrom for r in whole} == {"hot", "a", "b", None}
     for r in whole:
         values = np.array([v for c, _, v, _, _ in rows if c == r.chrom and v is not None and v == v])
         assert r.n == len(values)
         fake = type("S", (), {"quantiles": lambda self, s, r=r: [r[f"p{i}"] for i in range(len(s))]})()
         assert max(errors(fake, values)) <= 0.02
-    again = percentiles(merge_sketches(days, ["chrom"], fan_in=2), ["chrom"], shares).collect()
+    again = percentiles(merge_sketches(days, ["chrom"], many=True, fan_in=2), ["chrom"], shares).collect()
     assert sorted(map(str, whole)) == sorted(map(str, again))
     assert percentiles(days, ["day", "chrom"], shares).count() == 12
 
@@ -111,3 +111,31 @@ def test_edges(spark):
     assert [tuple(r) for r in got] == [("x", "n", 1, 1.0), ("x", "v", 1, 3.0)]
     assert percentiles(sketch_columns(one, [], ["v"]), [], {"p": 0.5}).first().p == 3.0
     assert F is not None
+
+
+def test_many_small_groups_are_handed_on_in_time(monkeypatch):
+    import pandas as pd
+
+    from millrace.llm import percentiles as P
+
+    monkeypatch.setattr(P, "HELD", 400_000)
+    batches = [pd.DataFrame({"k": np.arange(i, i + 500), "v": 1.0}) for i in range(0, 5000, 500)]
+    out = list(P._build(iter(batches), ["k"], ["v"], "both", 50))
+    assert len(out) > 5 and sum(map(len, out)) == 5000 and max(map(len, out)) < 700
+    one = ColumnSketch(50)
+    for x in range(200):
+        one.update(np.array([float(x)]))
+    assert one.held() < 6_000
+
+
+def test_two_rounds_of_merging(spark):
+    df = spark.range(0, 60_000, 1, 12).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    sketches = sketch_columns(df, ["k"], ["v"])
+    parts = [sketch_columns(df.where(f"pmod(v, 5) = {i}"), ["k"], ["v"]) for i in range(5)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    for many in (False, True):
+        got = {r.k: r for r in percentiles(merge_sketches(whole, ["k"], many=many, fan_in=2), ["k"], {"p50": 0.5}).collect()}
+        assert all(got[k].n == 20_000 and abs(got[k].p50 - 30_000) < 300 for k in range(3))
+    assert sketches.count() == 3

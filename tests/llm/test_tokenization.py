@@ -49,6 +49,16 @@ def test_cuts_are_many_and_join_to_the_text(encoder):
     assert "".join(parts) == text and len(parts) > 2000
 
 
+def test_cuts_around_other_white_space(encoder, other):
+    rng = random.Random(5)
+    for k in range(300):
+        text = "".join(rng.choice(["qjxzQJXZ09", "あ", "'", "\xa0", "\u3000", "\u2003x", "Zß", "=#"]) for _ in range(rng.randint(5, 60)))
+        assert encoder.encode(text) == other(text), repr(text)
+    text = "\xa0".join("".join(rng.choices("0123456789qjxzQJXZ+/", k=50)) for _ in range(400))
+    parts = encoder._cut(text)
+    assert "".join(parts) == text and len(parts) > 2000 and max(map(len, parts)) < 60
+
+
 def test_long_texts_take_time_in_proportion(encoder):
     import time
 

@@ -32,7 +32,7 @@ def sample(seed, size=3000):
 
 
 @pytest.mark.parametrize("n", [1, 3, 50])
-@pytest.mark.parametrize("broadcast_bytes", [0, 4_000_000])
+@pytest.mark.parametrize("broadcast_bytes", [0, 2_000, 4_000_000])
 def test_against_brute_force(spark, n, broadcast_bytes):
     rows = sample(n)
     assert found(spark, rows, n, broadcast_bytes=broadcast_bytes) == brute(rows, n)

@@ -87,12 +87,12 @@ class ParsedLines:
     def typed(self, table: str) -> DataFrame:
         """The valid lines of a table: the id column, then the columns of the table with their types.
 
-        Clean lines are those without a row among the rejected ones (an anti-join). Missing values are null.
+        Clean lines are those without a row among the rejected ones (an anti-join on the id and two 64-bit hashes of the whole line). Missing values are null.
         """
         rules = self._rules[table]
         good = self._lines.where((F.col("_table") == table) & F.col("_early").isNull())
-        bad = self.rejected.where(F.col("reason") == "value").select(F.col("row_key").alias("_bad"))
-        good = good.join(bad, F.col("_key") == F.col("_bad"), "left_anti")
+        bad = self.rejected.where(F.col("reason") == "value").select(F.col("row_key").alias("_bad"), F.col("line_id").alias("_bad_id"))
+        good = good.join(bad, (F.col("_key") == F.col("_bad")) & F.col("_id").eqNullSafe(F.col("_bad_id")), "left_anti")
         out = [F.col("_id").alias("line_id")]
         for i, r in enumerate(rules):
             cell = F.btrim(F.get("_cells", F.lit(i)))
@@ -122,7 +122,8 @@ def parse_lines(df: DataFrame, rules: dict[str, list[Rule]], id_col: str, table_
     src = df.where(~F.coalesce(skip, F.lit(False))) if skip is not None else df
     src = src.select(src[id_col].alias("_id"), src[table_col].cast("string").alias("_table"), F.regexp_replace(src[line_col], r"\r\z", "").alias("_line"))
     src = src.where(F.col("_line").rlike(r"\A(?!#)(?s:.*)[^ ]"))
-    parsed = F.struct("_id", "_table", F.xxhash64("_id", "_table", "_line").alias("_key"), _fields(F.col("_line"), most).alias("_cells"))
+    key = F.struct(F.xxhash64("_id", "_table", "_line").alias("a"), F.xxhash64(F.lit("check"), "_table", "_line").alias("b"))
+    parsed = F.struct("_id", "_table", key.alias("_key"), _fields(F.col("_line"), most).alias("_cells"))
     # One row is exploded to one row: filters aren't pushed below this, so a line is split once and not for every use of its cells.
     src = src.select(F.inline(F.array(parsed)))
     width = F.lit(None).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.nulls import ascending
+from millrace.session import cut
 
 VALUE = "_"
 
@@ -80,8 +81,11 @@ def in_order(df: DataFrame, name: str = "__row") -> DataFrame:
 
 
 def dense_order(df: DataFrame, name: str = "__row") -> DataFrame:
-    """Number the rows in the order of the table, without gaps: one pass more, which counts the rows of each partition."""
-    numbered = in_order(df, name)
+    """Number the rows in the order of the table, without gaps: one pass more, which counts the rows of each partition.
+
+    Both passes have to see the same partitions, so a table that is more than a scan is checkpointed first.
+    """
+    numbered = in_order(df if is_scan(df) else cut(df), name)
     part = F.shiftright(name, 33)
     sizes = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     upto, offsets = 0, []

@@ -66,8 +66,9 @@ class Engine:
         out: Any = None
         for node in s.parse(text):
             if isinstance(node, s.Load):
-                path = Path(folder or ".", node.path)
-                out = self.run(path.read_text(), str(path.parent))
+                remote = "://" in node.path or node.path.startswith("file:")
+                path = node.path if remote else str(Path(folder, node.path)) if folder and "://" not in folder else f"{folder}/{node.path}" if folder else node.path
+                out = self.run(registry.read_text(self.spark, path), path.rpartition("/")[0] or ".")
             elif isinstance(node, s.Assign):
                 out = self.eval(node.value, {})
                 self._assign(node.name, out)
@@ -213,13 +214,17 @@ class Engine:
         if op in ("<", "<="):
             a, b, op = b, a, {"<": ">", "<=": ">="}[op]
         x, y = self._comparable(a, b)
-        if op == ">":
-            where = nulls.where_gt(x, y, b.literal and b.value is not None)
+        if op in (">", ">="):
+            if op == ">":
+                made, where = nulls.gt(x, y), nulls.where_gt(x, y, b.literal and b.value is not None)
+            else:
+                made, where = nulls.ge(x, y), nulls.where_ge(x, y)
             if a.literal and a.value is not None:
-                where = x > y  # a value is never greater than a missing one
-            return Cell(nulls.gt(x, y), BOOL, free, where)
-        if op == ">=":
-            return Cell(nulls.ge(x, y), BOOL, free, (x >= y) if a.literal and a.value is not None else nulls.where_ge(x, y))
+                where = x > y if op == ">" else x >= y  # a value is never greater than a missing one
+            if scalar.is_float(a.type) and not a.literal:
+                # Spark has NaN above all numbers, the statistics of files don't; here it is neither above nor below any.
+                made, where = made & ~F.isnan(x), where & ~F.isnan(x)
+            return Cell(made, BOOL, free, where)
         named = {"==": nulls.eq, "!=": nulls.ne, "==?": nulls.eq_or_right_null, "?==": nulls.eq_or_left_null, "?==?": nulls.eq_or_either_null}
         if op == "==" and b.literal and b.value is not None:
             return Cell(nulls.eq(x, y), BOOL, free, x == y)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.operators.rows import dense_order
 from millrace.plans.engine import Engine
 from millrace.queries import Query, table
 from millrace.session import shared_dir
+from millrace.sources import bam, registry
+from millrace.sources.tsv import read_tsv
 
 TABLES = "region nation customer supplier part orders lineitem events documents small ex1_golden conta cancer_genes items".split()
 
@@ -91,7 +98,6 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
         "conta | minn(50, {-&cf, &row_id}) | map({&row_id, &cf})",
         "select row_id, cf from conta order by cf desc nulls first, row_id limit 50",
     ),
-    "sort_all": ("nation | sort({&n_regionkey, -&n_name})", "select * from nation"),
     "pick_first": (
         "table(orders | sort(&o_orderkey) | pick(&o_totalprice > 100000.0))",
         "select * from orders where o_totalprice > 100000 order by o_orderkey limit 1",
@@ -213,8 +219,8 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
         "select row_id, 'gc' as measure, gc as v from small union all select row_id, 'count', count from small union all select row_id, 'length', length from small",
     ),
     "spread_column": (
-        "nation | spread(key:=`n_regionkey`, value:=`n_name`) | map({&n_nationkey, r0: optionalfield(_, `0`), r4: optionalfield(_, `4`)})",
-        "select n_nationkey, case when n_regionkey = 0 then n_name end as r0, case when n_regionkey = 4 then n_name end as r4 from nation",
+        "nation | spread(key:=`n_regionkey`, value:=`n_name`)",
+        "select n_nationkey, " + ", ".join(f'case when n_regionkey = {i} then n_name end as "{i}"' for i in range(5)) + " from nation",
     ),
     "gather_spread_collapse": (
         "supplier | map({&s_suppkey, &s_nationkey, &s_acctbal}) | gather(`s_nationkey`, `s_acctbal`, key:=`k`, value:=`v`) | spread(key:=`k`, value:=`v`) | collapse(`s_nationkey`, `s_acctbal`)",
@@ -257,6 +263,51 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
         "select o_orderkey, o_orderdate > timestamp '1996-06-01' as late, o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01' as day, epoch(o_orderdate)::bigint as sec, 10801000::bigint as span, true as longer from orders",
     ),
     "hash_sample": ("events | sample(10) | map({&event_id})", None),
+    "hash_and_sample": (
+        "table({whole: events | sample(1) | count(), off: (events | sample(10) | count()) - (events | filter(hash64(_) % 10 == 0) | count()), odd: events | filter(hash64(&event_id) < 0 || hash64(&event_id) != hash64(&event_id)) | count()})",
+        "select count(*) as whole, 0 as off, 0 as odd from events",
+    ),
+    "hash_of_keys": ("orders | reduce(hash64(&o_custkey), _acc+_val, map:=1) | map({n: &value})", "select count(*) as n from orders group by o_custkey"),
+    "kinds_of_values": (
+        "nation | map({&n_nationkey, s: isstruct(_), t: isstruct(&n_name), u: istable(_), v: isstruct({k: &n_name}), w: istable(table(1, 2))})",
+        "select n_nationkey, true as s, false as t, false as u, true as v, true as w from nation",
+    ),
+    "base_names": ("supplier | map({&s_suppkey, b: basename(`/x/` + &s_name + `/y.` + string(&s_suppkey))})", "select s_suppkey, 'y.' || s_suppkey as b from supplier"),
+    "dollar_columns": ("nation | map({k: $n_nationkey + 1, $n_name})", "select n_nationkey + 1 as k, n_name from nation"),
+    "forced_table": (
+        "big := force(orders | filter(&o_totalprice > 200000.0)); table({n: count(big), m: big | filter(&o_orderstatus == `F`) | count()})",
+        "select count(*) as n, count(*) filter (o_orderstatus = 'F') as m from orders where o_totalprice > 200000",
+    ),
+    "nan_in_filters": (
+        "small | filter(&density > 0.002) | map({&row_id, le: &density <= 0.5})",
+        "select row_id, not isnan(density) and density <= 0.5 and density is not null as le from small where density is null or (density > 0.002 and not isnan(density))",
+    ),
+    "cogroup_fused": (
+        """lineitem | cogroup(&l_returnflag, map:={&l_orderkey, &l_linenumber, &l_quantity}) | map({&key, last: (sort(&value, {-&l_orderkey, -&l_linenumber}) | pick(true)).l_orderkey,
+           total: (reduce(&value, 0, |a,b| a+b, map:=int(&l_quantity)) | pick(true)).value, few: &value | filter(&l_quantity < 5.0) | count(), least: (sort(&value | filter(&l_quantity > 10.0), &l_orderkey) | pick(true)).l_orderkey})""",
+        """select l_returnflag as key, max(l_orderkey) as last, sum(l_quantity::bigint) as total, count(*) filter (l_quantity < 5) as few, min(l_orderkey) filter (l_quantity > 10) as least
+           from lineitem group by 1""",
+    ),
+    "join_three_missing": (
+        """A := nation | map({&n_name, k: if &n_nationkey < 4 NA else &n_nationkey}); B := supplier | map({&s_suppkey, k: &s_nationkey, r: if &s_suppkey % 7 == 0 NA else &s_nationkey % 5}); C := region | map({&r_name, r: &r_regionkey});
+           join({a: A, b: B, c: C}, a.k == b.k && b.r == c.r, map:={a.n_name, b.s_suppkey, c.r_name})""",
+        """with a as (select n_name, case when n_nationkey >= 4 then n_nationkey end as k from nation),
+           b as (select s_suppkey, s_nationkey as k, case when s_suppkey % 7 <> 0 then s_nationkey % 5 end as r from supplier),
+           m as (select n_name, a.k as ak, b.k as bk, s_suppkey, r from a full join b on a.k is not distinct from b.k)
+           select n_name, s_suppkey, r_name from m full join region on r is not distinct from r_regionkey where ak is not distinct from bk and r is not distinct from r_regionkey""",
+    ),
+    "interval_join_length": (
+        "small | joinbed(cancer_genes, chrom:=&chrom, start:=&start, length:=&end - &start, map:=|r,feat| {r.row_id, feat.start})",
+        'select distinct row_id, g.start from small s join cancer_genes g on g.chrom = s.chrom and g.start < s."end" and g."end" > s.start and g."end" > g.start where s."end" > s.start',
+    ),
+    "interval_join_endless": (
+        "table({chrom: `chr1`, start: 0, end: 4611686018427387904}, {chrom: `chr2`, start: -5, end: 9}) | joinbed(cancer_genes, map:=|r,feat| {r.end, feat.start})",
+        'select distinct 4611686018427387904 as "end", start from cancer_genes where chrom = \'chr1\' and "end" > greatest(start, 0) union select 9, start from cancer_genes where chrom = \'chr2\' and start < 9 and "end" > start',
+    ),
+    "collapse_runs": (
+        "orders | sort(&o_orderkey) | map({g: &o_orderkey / 4, a: if &o_orderkey % 4 < 2 &o_orderkey else NA, b: if &o_orderkey % 4 > 1 &o_custkey else NA}) | collapse(`a`, `b`) | reduce(&g, |x,y| x+y, map:=1)",
+        None,
+    ),
 }
 
 
@@ -284,11 +335,12 @@ def native_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def column_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One file for each column; the column ``n_name`` read again."""
+    """One table for each column; all of them read again."""
     path = f"{shared_dir(spark)}/cols-{uuid.uuid4().hex}"
-    program = f"writecols(nation, `{path}/{{{{.Name}}}}.tsv`)"
+    program = f"writecols(nation, `{path}/{{{{.Name}}}}-{{{{.Number}}}}.tsv`)"
     engine_for(spark, folder, program).run(program)
-    return Engine(spark).eval_text(f"read(`{path}/n_name.tsv`)")
+    names = ("n_nationkey", "n_name", "n_regionkey")
+    return Engine(spark).eval_text("concat(" + ", ".join(f"read(`{path}/{n}-{i}.tsv`)" for i, n in enumerate(names)) + ")")
 
 
 FILES = {f.__name__: f for f in (tsv_roundtrip, bed_roundtrip, native_roundtrip, column_files)}
@@ -297,7 +349,95 @@ ORACLES: dict[str, str] = {name: sql for name, (_, sql) in PROGRAMS.items() if s
     "tsv_roundtrip": "select c_custkey, c_name, c_acctbal, case when c_custkey % 3 <> 0 then c_nationkey end as d from customer",
     "bed_roundtrip": "select * from cancer_genes",
     "native_roundtrip": "select * from nation",
-    "column_files": "select n_name from nation",
+    "column_files": "select n_nationkey, null as n_name, null as n_regionkey from nation union all select null, n_name, null from nation union all select null, null, n_regionkey from nation",
+}
+
+
+def sort_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Sorted, with the place of each row."""
+    program = "nation | sort({&n_regionkey, -&n_name})"
+    return dense_order(engine_for(spark, folder, program).eval_text(program), "place")
+
+
+def printed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``print`` shows, line by line."""
+    program = "print(customer | map({&c_custkey, &c_name}))"
+    engine = engine_for(spark, folder, program)
+    engine.out = (lines := []).append
+    engine.run(program)
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+def files_in_a_folder(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/dir-{uuid.uuid4().hex}"
+    for name in ("a.tsv", "sub/b.x.bed"):
+        registry.put(spark, f"{path}/{name}", b"k\n1\n")
+    return Engine(spark).eval_text(f"d := readdir(`{path}`); table({{a: contains(d, `a_tsv`), b: basename(d.sub_b_x_bed), c: contains(d, `b`), n: read(d.a_tsv) | count()}})")
+
+
+def attributes_of_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return Engine(spark).eval_text(f"T := read(`{folder}/nation.parquet`); table({{n: table_attrs(T).name, p: basename(table_attrs(T).path)}})")
+
+
+def loaded_functions(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lib-{uuid.uuid4().hex}"
+    registry.put(spark, f"{path}/more.q", b"func twice(x) x * 2")
+    registry.put(spark, f"{path}/lib.q", b"load `more.q`; func eight(x) twice(twice(twice(x)))")
+    program = f"load `{path}/lib.q`; nation | map({{k: eight(&n_nationkey)}})"
+    return engine_for(spark, folder, program).eval_text(program)
+
+
+def own_functions_and_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """A function of Python and a format of one's own, used by a program."""
+    registry.register("ids", r"\.ids$", lambda s, path: s.range(int(path.rpartition("/")[2].split(".")[0])))
+    engine = Engine(spark)
+    engine.register("shouted", lambda x: F.upper(x), "string")
+    return engine.eval_text("read(`12.ids`) | map({&id, t: shouted(`n` + string(&id))})")
+
+
+def tables_by_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths that are cells, each read as a table."""
+    return Engine(spark).eval_text(f"table({{p: `{folder}/nation.parquet`}}, {{p: `{folder}/nation.parquet`}}) | map(read(&p)) | flatten()")
+
+
+def _compressed(end: str, pack: Callable[[bytes], bytes]) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        """A compressed table, one of whose lines is like the header."""
+        rows = table(spark, folder, "nation").orderBy("n_nationkey").collect()
+        lines = ["name\tregion", "name\tregion", "# a note", *(f"{r.n_name}\t{r.n_regionkey}" for r in rows)]
+        path = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}.tsv{end}"
+        registry.put(spark, path, pack(("\n".join(lines) + "\n").encode()))
+        return read_tsv(spark, path, {"name": "string", "region": "string"})
+
+    return query
+
+
+def _zst(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data)
+
+
+def alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """An alignment file made of the orders, in many blocks, read by several tasks."""
+    rows = table(spark, folder, "orders").orderBy("o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus").collect()
+    path = f"{shared_dir(spark)}/reads-{uuid.uuid4().hex}.bam"
+    registry.put(spark, path, bam.packed([("chr1", 10**9)], [(f"r{r.o_orderkey}", 0, r.o_custkey, "ACGT"[: 1 + r.o_custkey % 4]) for r in rows], block=4_000))
+    return bam.read_alignments(spark, path, split=16_384).select("name", "reference", "pos", "cigar", "seq")
+
+
+FILES |= {f.__name__: f for f in (sort_all, printed_rows, files_in_a_folder, attributes_of_tables, loaded_functions, own_functions_and_formats, tables_by_path, alignments)}
+FILES |= {f"tsv_{end}_lines": _compressed(f".{end}", pack) for end, pack in (("gz", gzip.compress), ("bz2", bz2.compress), ("zst", _zst))}
+QUERIES |= FILES
+ORACLES |= {f"tsv_{end}_lines": "select 'name' as name, 'region' as region union all select n_name, n_regionkey::varchar from nation" for end in ("gz", "bz2", "zst")} | {
+    "sort_all": "select *, row_number() over (order by n_regionkey, n_name desc) - 1 as place from nation",
+    "printed_rows": "select '{c_custkey:' || c_custkey || ',c_name:' || c_name || '}' as line from customer",
+    "files_in_a_folder": "select true as a, 'b.x.bed' as b, false as c, 1 as n",
+    "attributes_of_tables": "select 'parquet' as n, 'nation.parquet' as p",
+    "loaded_functions": "select n_nationkey * 8 as k from nation",
+    "own_functions_and_formats": "select range as id, 'N' || range as t from range(12)",
+    "tables_by_path": "select * from nation union all select * from nation",
+    "alignments": "select 'r' || o_orderkey as name, 'chr1' as reference, o_custkey + 1 as pos, (1 + o_custkey % 4) || 'M' as cigar, 'ACGT'[1:1 + o_custkey % 4] as seq from orders",
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A file's text, from wherever Spark reads files."""
+    found = spark.read.text(path if "://" in path or path.startswith("file:") else str(Path(path).absolute()), wholetext=True).first()
+    return "" if found is None else found[0]
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file of its own, wherever Spark writes files."""
+    p, fs = _folder(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def list_files(spark: SparkSession, path: str) -> dict[str, str]:
     """The files below a folder by a name made of their path: without the folder's own name, with ``_`` for slashes and dots."""
     p, fs = _folder(spark, path.rstrip("/"))
@@ -81,13 +98,8 @@ def _write_parquet(df: DataFrame, path: str, mode: str, shards: int | None) -> N
     (df if shards is None else df.repartition(shards)).write.mode(mode).parquet(path)
 
 
-def _read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(bam.AlignmentSource)
-    return spark.read.format("alignments").load(path)
-
-
 register("tsv", r"\.tsv(?:\.gz|\.bz2|\.zst)?$", tsv.read_tsv, lambda df, path, mode, shards: tsv.write_tsv(df, path, mode, shards))
 register("bed", r"\.bed(?:\.gz|\.bz2)?$|\.bed\.count$", tsv.read_bed, lambda df, path, mode, shards: tsv.write_tsv(df, path, mode, shards, header=False))
 register("parquet", r"\.parquet/?$", lambda spark, path: spark.read.parquet(path), _write_parquet)
 register("btsv", r"\.btsv/?$", lambda spark, path: spark.read.parquet(path), _write_parquet)
-register("bam", r"\.bam$", _read_alignments)
+register("bam", r"\.bam$", bam.read_alignments)

@@ -9,7 +9,7 @@ import zstandard
 
 from millrace.cli import argument, main, prompt
 from millrace.plans.engine import Engine
-from millrace.sources import registry, tsv
+from millrace.sources import bam, registry, tsv
 
 
 @pytest.mark.parametrize(
@@ -119,6 +119,15 @@ def test_alignments(spark, tmp_path):
         registry.write(spark.range(1), f"{tmp_path}/b.bam")
 
 
+@pytest.mark.parametrize(("block", "split"), [(60_000, 4_000), (500, 1_000), (97, 300), (60_000, 10**9)])
+def test_alignments_are_split_over_tasks(spark, tmp_path, block, split):
+    reads = [(f"r{i}", i % 2, i * 7 % 900, "ACGTNACGT"[: 1 + i % 9] * (1 + (i % 50 == 0) * 300)) for i in range(3000)]
+    (tmp_path / "a.bam").write_bytes(bam.packed([("c1", 1000), ("c2", 1000)], reads, block))
+    df = bam.read_alignments(spark, f"{tmp_path}/a.bam", split)
+    assert df.rdd.getNumPartitions() == -(-(tmp_path / "a.bam").stat().st_size // split)
+    assert [(r.name, ["c1", "c2"].index(r.reference), r.pos - 1, r.seq) for r in df.collect()] == reads
+
+
 def test_formats(spark, tmp_path):
     assert registry.find("x.bed.count").name == "bed" and registry.find("a/b.tsv.gz").name == "tsv" and registry.find("q", "tsv").name == "tsv"
     with pytest.raises(ValueError, match="no such format"):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.operators.rows import VALUE, dense_order, expand
+from millrace.operators.rows import VALUE, expand
 
 #: New columns a table may get from its data.
 MOST_COLUMNS = 10_000
@@ -29,8 +30,8 @@ def flatten(*tables: DataFrame) -> DataFrame:
     return concat(*out)
 
 
-def _common(df: DataFrame, columns: list[str]) -> str:
-    kinds = {df.schema[c].dataType.simpleString() for c in columns}
+def _common(schema: T.StructType, columns: list[str]) -> str:
+    kinds = {schema[c].dataType.simpleString() for c in columns}
     if len(kinds) == 1:
         return kinds.pop()
     return "double" if kinds <= {"int", "bigint", "float", "double", "smallint", "tinyint"} else "string"
@@ -42,7 +43,7 @@ def gather(df: DataFrame, columns: list[str], key: str, value: str) -> DataFrame
     if lost:
         raise ValueError(f"no such columns: {', '.join(lost)}")
     rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    kind = _common(df, columns)
+    kind = _common(df.schema, columns)
     pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast(kind).alias("v")) for c in columns])
     return df.select(*rest, F.explode(pairs).alias("__p")).select(*rest, F.col("__p.k").alias(key), F.col("__p.v").alias(value))
 
@@ -62,32 +63,37 @@ def spread(df: DataFrame, key: str, value: str, names: list[str] | None = None)
     return df.select(*rest, *[F.when(text == n, F.col(f"`{value}`")).alias(n) for n in names])
 
 
-def collapse(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Merge neighbouring rows that agree in all other columns, as long as no listed column has a value twice.
-
-    Runs of neighbours are found from a row's place in the table less its place among the rows with equal other columns, so rows are partitioned by
-    these columns and never meet in one task because of their order alone.
-    """
-    rest = [c for c in df.columns if c not in columns]
-    rows = dense_order(df)
-    keys = [F.col(f"`{c}`") for c in rest]
-    among = F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__row"))
-    cells = F.struct(*[F.col(f"`{c}`") for c in columns])
-    runs = rows.withColumn("__run", F.col("__row") - among)
-    listed = runs.groupBy(*keys, "__run").agg(F.min("__row").alias("__row"), F.sort_array(F.collect_list(F.struct("__row", cells.alias("c")))).alias("__l"))
-    kind = df.select(cells.alias("c")).schema[0].dataType.simpleString()
+def collapse_cell(rows: Column, kind: T.StructType, columns: list[str]) -> tuple[Column, T.StructType]:
+    """As :func:`millrace.operators.collapse.collapse`, of a table in a cell."""
+    rest = [f for f in kind.fields if f.name not in columns]
+    out = T.StructType([*rest, *(kind[c] for c in columns)])
 
     def step(done: Column, row: Column) -> Column:
-        last, new = F.get(done, F.size(done) - 1), row["c"]
-        clash = F.lit(False)
+        last = F.get(done, F.size(done) - 1)
+        apart = F.size(done) == 0
+        for f in rest:
+            apart = apart | ~last[f.name].eqNullSafe(row[f.name])
         for c in columns:
-            clash = clash | (last[c].isNotNull() & new[c].isNotNull())
-        merged = F.struct(*[F.coalesce(last[c], new[c]).alias(c) for c in columns])
-        return F.when((F.size(done) == 0) | clash, F.concat(done, F.array(new))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged)))
+            apart = apart | (last[c].isNotNull() & row[c].isNotNull())
+        own = F.struct(*[row[f.name].alias(f.name) for f in out.fields])
+        merged = F.struct(*[(F.coalesce(last[f.name], row[f.name]) if f.name in columns else last[f.name]).alias(f.name) for f in out.fields])
+        return F.when(apart, F.concat(done, F.array(own))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(merged)))
+
+    return F.aggregate(rows, F.array().cast(T.ArrayType(out)), step), out
+
+
+def gather_cell(rows: Column, kind: T.StructType, columns: list[str], key: str, value: str) -> tuple[Column, T.StructType]:
+    """As :func:`gather`, of a table in a cell."""
+    lost = [c for c in columns if c not in kind.names]
+    if lost:
+        raise ValueError(f"no such columns: {', '.join(lost)}")
+    rest = [f for f in kind.fields if f.name not in columns]
+    of = _common(kind, columns)
+
+    def pairs(x: Column) -> Column:
+        return F.array(*[F.struct(*[x[f.name].alias(f.name) for f in rest], F.lit(c).alias(key), x[c].cast(of).alias(value)) for c in columns])
 
-    folded = F.aggregate("__l", F.expr(f"cast(array() as array<{kind}>)"), step)
-    out = listed.select(*keys, "__row", F.posexplode(folded).alias("__at", "__c"))
-    return out.orderBy("__row", "__at").select(*keys, *[F.col(f"__c.`{c}`").alias(c) for c in columns])
+    return F.flatten(F.transform(rows, pairs)), T.StructType([*rest, T.StructField(key, T.StringType()), T.StructField(value, T._parse_datatype_string(of))])
 
 
 def transpose(df: DataFrame, key: Column, cells: str, entry: Callable[[Column], tuple[Column, Column]], names: list[str] | None = None) -> DataFrame:

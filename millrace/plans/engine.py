@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import nulls, scalar
-from millrace.operators import groups, intervals, joins, reshape, rows
+from millrace.operators import collapse, groups, intervals, joins, reshape, rows
 from millrace.operators.rows import VALUE
 from millrace.plans import syntax as s
 from millrace.plans.values import (
@@ -1016,8 +1016,13 @@ def _names_from(a: Arguments, first: int) -> list[str]:
 
 
 @builtin("gather", 2, MANY, ("key", "value"))
-def _gather(a: Arguments) -> Table:
-    return table_of(reshape.gather(_whole(a, a.value(0)).df, _names_from(a, 1), a.constant("key"), a.constant("value")))
+def _gather(a: Arguments) -> Any:
+    v, columns, key, value = a.value(0), _names_from(a, 1), a.constant("key"), a.constant("value")
+    if _is_cell_table(v) and not v.free:
+        items, kind = _items(v)
+        made, of = reshape.gather_cell(items, kind, columns, key, value)
+        return Cell(made, T.ArrayType(of))
+    return table_of(reshape.gather(_whole(a, v).df, columns, key, value))
 
 
 @builtin("spread", 1, 1, ("key", "value"))
@@ -1026,8 +1031,13 @@ def _spread(a: Arguments) -> Table:
 
 
 @builtin("collapse", 2, MANY)
-def _collapse(a: Arguments) -> Table:
-    return table_of(reshape.collapse(_whole(a, a.value(0)).df, _names_from(a, 1)))
+def _collapse(a: Arguments) -> Any:
+    v, columns = a.value(0), _names_from(a, 1)
+    if _is_cell_table(v) and not v.free:
+        items, kind = _items(v)
+        made, of = reshape.collapse_cell(items, kind, columns)
+        return Cell(made, T.ArrayType(of))
+    return table_of(collapse.collapse(_whole(a, v).df, columns))
 
 
 @builtin("transpose", 3, 3, ("row",))

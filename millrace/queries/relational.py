@@ -304,9 +304,13 @@ PROGRAMS: dict[str, tuple[str, str | None]] = {
         "table({chrom: `chr1`, start: 0, end: 4611686018427387904}, {chrom: `chr2`, start: -5, end: 9}) | joinbed(cancer_genes, map:=|r,feat| {r.end, feat.start})",
         'select distinct 4611686018427387904 as "end", start from cancer_genes where chrom = \'chr1\' and "end" > greatest(start, 0) union select 9, start from cancer_genes where chrom = \'chr2\' and start < 9 and "end" > start',
     ),
-    "collapse_runs": (
-        "orders | sort(&o_orderkey) | map({g: &o_orderkey / 4, a: if &o_orderkey % 4 < 2 &o_orderkey else NA, b: if &o_orderkey % 4 > 1 &o_custkey else NA}) | collapse(`a`, `b`) | reduce(&g, |x,y| x+y, map:=1)",
-        None,
+    "collapse_pairs": (
+        "concat(orders | map({k: &o_orderkey, a: &o_custkey, b: NA}), orders | map({k: &o_orderkey, a: NA, b: &o_orderstatus})) | sort(&k) | collapse(`a`, `b`)",
+        "select o_orderkey as k, o_custkey as a, o_orderstatus as b from orders",
+    ),
+    "reshaping_in_cells": (
+        "nation | cogroup(&n_regionkey, map:={&n_name, &n_nationkey, twice: &n_nationkey * 2}) | map({&key, t: &value | gather(`n_nationkey`, `twice`, key:=`what`, value:=`v`) | filter(&v > 20)}) | map(&t) | flatten()",
+        "select n_name, 'n_nationkey' as what, n_nationkey as v from nation where n_nationkey > 20 union all select n_name, 'twice', n_nationkey * 2 from nation where n_nationkey > 10",
     ),
 }
 

@@ -193,6 +193,9 @@ def test_reshaping(engine):
     half = "table({shelf:1,left:5,right:NA},{shelf:1,left:NA,right:6},{shelf:1,left:7,right:NA},{shelf:2,left:NA,right:8},{shelf:2,left:NA,right:9})"
     assert rows(engine, half + " | collapse(`left`,`right`)") == ["{shelf:1,left:5,right:6}", "{shelf:1,left:7,right:NA}", "{shelf:2,left:NA,right:8}", "{shelf:2,left:NA,right:9}"]
     assert rows(engine, "table({shelf:1,left:5},{shelf:2,left:5},{shelf:1,left:NA}) | collapse(`left`)") == ["{shelf:1,left:5}", "{shelf:2,left:5}", "{shelf:1,left:NA}"]
+    engine.run("Flat := table({no:1, rooms:table({r:`a`,m:1,j:2},{r:`b`,m:3,j:NA})})")
+    assert rows(engine, "Flat | map({&no, t: &rooms | gather(`m`,`j`,key:=`k`,value:=`v`) | filter(&v < 3) | map({&r, &k})})") == ["{no:1,t:[{r:a,k:m},{r:a,k:j}]}"]
+    assert rows(engine, f"table({{t: {half}}}) | map(&t | collapse(`left`,`right`)) | flatten()") == rows(engine, half + " | collapse(`left`,`right`)")
     engine.run("Farms := table({farm:`a`, yields:table({crop:`rye`, year:1, tons:30}, {crop:`oat`, year:2, tons:41})}, {farm:`b`, yields:table({crop:`rye`, year:2, tons:52})})")
     assert rows(engine, "transpose(Farms, {&farm}, {&crop,&year,&tons})") == ["{farm:a,oat_2:41,rye_1:30,rye_2:NA}", "{farm:b,oat_2:NA,rye_1:NA,rye_2:52}"]
     assert rows(engine, "transpose(Farms, {&farm}, |key,val|{val.crop,key.farm+string(val.year)})")[0] == "{farm:a,oat:a2,rye:a1}"

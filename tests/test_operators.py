@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import nulls, scalar
-from millrace.operators import groups, intervals, joins, reshape, rows
+from millrace.operators import collapse, groups, intervals, joins, reshape, rows
 
 
 def key(v):
@@ -152,20 +152,33 @@ def test_greatest_of_a_group_with_a_missing_value(spark):
     assert {r.key: r.value for r in groups.fold(df, F.col("k"), F.col("v"), "max").collect()} == {1: None, 2: 5}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(12))
 def test_collapse_against_brute_force(spark, seed):
+    """Runs over many partitions, entered in every way; nested cells; whole tables of one run."""
     rng = random.Random(seed)
-    data = [(rng.choice(["a", "b", None]), rng.choice([None, 1]), rng.choice([None, 2])) for _ in range(40)]
+    keys, n, parts = [["a", "b", None], ["a"], ["a"] * 30 + ["b"]][seed % 3], rng.choice([1, 5, 40, 90]), rng.choice([1, 3, 9])
+    data = [(rng.choice(keys), rng.choice([None, None, 1]), rng.choice([None, None, None, 2]), rng.choice([None, None, [3]])) for _ in range(n)]
     want = []
-    for k, x, y in data:
-        if want and want[-1][0] == k and not (want[-1][1] is not None and x is not None) and not (want[-1][2] is not None and y is not None):
-            last = want[-1]
-            want[-1] = (k, last[1] if x is None else x, last[2] if y is None else y)
+    for k, *cells in data:
+        if want and want[-1][0] == k and not any(x is not None and y is not None for x, y in zip(want[-1][1], cells)):
+            want[-1] = (k, [y if x is None else x for x, y in zip(want[-1][1], cells)])
         else:
-            want.append((k, x, y))
-    df = spark.createDataFrame(data, "k string, x int, y int").repartition(1).coalesce(1)
-    df = spark.createDataFrame(data, "k string, x int, y int")
-    assert [tuple(r) for r in reshape.collapse(df, ["x", "y"]).collect()] == want
+            want.append((k, cells))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(data, parts), "k string, x int, y int, z array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rng.choice(["2", "7", "10000"]))
+    try:
+        assert [(r.k, [r.x, r.y, r.z]) for r in collapse.collapse(df, ["x", "y", "z"]).collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if len(keys) == 1:
+        assert [[r.x, r.y, r.z] for r in collapse.collapse(df.drop("k"), ["x", "y", "z"]).collect()] == [c for _, c in want]
+
+
+def test_collapse_neither_shuffles_nor_sorts(spark, tmp_path):
+    spark.range(10).selectExpr("id div 2 as k", "if(id % 2 = 0, id, null) as x", "if(id % 2 = 1, id, null) as y").write.parquet(f"{tmp_path}/t")
+    plan = collapse.collapse(spark.read.parquet(f"{tmp_path}/t"), ["x", "y"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert collapse.collapse(spark.read.parquet(f"{tmp_path}/t").where("k < 0"), ["x", "y"]).count() == 0
 
 
 def test_dense_order(spark):

@@ -11,6 +11,8 @@ from millrace.session import ScratchTable, cut
 
 #: Relative rank error of the band limits is its inverse; the limits only balance work, the result is exact.
 BAND_ACCURACY = 1_000
+#: About what a row of one text takes in a broadcast hash relation besides the text: key and value rows, their record, and its places in the index.
+RELATION_BYTES = 160
 
 
 def top_items(
@@ -62,7 +64,7 @@ def top_items(
                 top = trimmed(part).withColumn("rank_no", F.col("_r"))
             else:
                 filled = have.where(F.col("_have") >= n).select("_g")
-                each = F.octet_length(F.col("_g").cast("string")) + 64
+                each = F.octet_length(F.col("_g").cast("string")) + RELATION_BYTES
                 size, longest = filled.agg(F.sum(each), F.max(each)).first()
                 if (size or 0) <= broadcast_bytes:
                     top = trimmed(part.join(F.broadcast(filled), "_g", "left_anti"))

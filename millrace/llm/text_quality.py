@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import cut
+
 # ---------------------------------------------------------------- basic counts
 
 
@@ -674,18 +676,15 @@ def learn_languages(df: DataFrame, text: str, function: dict[str, list[str]]) ->
     src = df.select(df[text].cast("string").alias("_text")).where(F.col("_text").isNotNull())
     counts = src.mapInArrow(partial(_teach, function=function), "lang string, kind string, item string, weight double")
     counts = counts.groupBy("lang", "kind", "item").agg(F.sum("weight").alias("weight"))
-    counts = counts.where((F.col("kind") != "word") | (F.col("weight") >= FEWEST)).persist()
-    try:
-        base = counts.where("kind = 'rest'").collect()
-        lines = {r["lang"]: r["weight"] for r in base if r["item"] == "lines"}
-        words: dict[str, list[str]] = {}
-        least = F.lit(None).cast("double")
-        for name, n in lines.items():
-            least = F.when(F.col("lang") == name, max(FEWEST, RARE * n)).otherwise(least)
-        for r in counts.where((F.col("kind") == "word") & (F.col("weight") >= least)).select("lang", "item").collect():
-            words.setdefault(r["lang"], []).append(r["item"])
-    finally:
-        counts.unpersist()
+    counts = cut(counts.where((F.col("kind") != "word") | (F.col("weight") >= FEWEST)))
+    base = counts.where("kind = 'rest'").collect()
+    lines = {r["lang"]: r["weight"] for r in base if r["item"] == "lines"}
+    words: dict[str, list[str]] = {}
+    least = F.lit(None).cast("double")
+    for name, n in lines.items():
+        least = F.when(F.col("lang") == name, max(FEWEST, RARE * n)).otherwise(least)
+    for r in counts.where((F.col("kind") == "word") & (F.col("weight") >= least)).select("lang", "item").collect():
+        words.setdefault(r["lang"], []).append(r["item"])
     out = {}
     for name, known in function.items():
         seen = {r["item"]: r["weight"] for r in base if r["lang"] == name and r["item"] != "lines"}

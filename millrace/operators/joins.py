@@ -62,6 +62,8 @@ def null_keys(tables: dict[str, DataFrame], matches: list[Match]) -> bool:
     statistics; of others, which would have to be computed for it, it is assumed."""
     asked: list[DataFrame] = []
     for name, df in tables.items():
+        if df.isStreaming:
+            continue  # has no answer yet
         keys = {k for m in matches if m.op == "==" for t, k in ((m.left, m.left_key), (m.right, m.right_key)) if t == name}
         nullable = [k for k in sorted(keys) if df.schema[k].nullable]
         if not nullable:

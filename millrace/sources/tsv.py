@@ -166,7 +166,7 @@ def write_tsv(df: DataFrame, path: str, mode: str, shards: int | None = None, he
     text = src.select(*[cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
     if not df.columns:
         text = df.sparkSession.createDataFrame([], "dummycol string")
-    text.write.mode(mode).csv(path, sep="\t", header=header, quote="", emptyValue="", nullValue="NA")
+    text.write.mode(mode).csv(path, sep="\t", header=header, quote="", emptyValue="", nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 # The columns of a BED file.
@@ -196,7 +196,7 @@ def write_columns(df: DataFrame, template: str, gzip: bool = False, mode: str =
             path = re.sub(r"\{\{\s*\.Name\s*\}\}", lambda _: name, template)
             path = re.sub(r"\{\{\s*\.Number\s*\}\}", str(i), path) + ".gz" * gzip
             text = cached.select(cell_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name))
-            text.write.mode(mode).csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="NA", compression="gzip" if gzip else "none")
+            text.write.mode(mode).csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression="gzip" if gzip else "none")
             paths.append(path)
     finally:
         cached.unpersist()

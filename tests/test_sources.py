@@ -57,6 +57,16 @@ def test_writing_keeps_partitions(spark, tmp_path):
     assert [len(list((tmp_path / n).glob("part-*"))) for n in ("a.tsv", "b.tsv")] == [5, 2]
 
 
+def test_spaces_and_empty_cells_stay(spark, tmp_path):
+    rows = [(" a ", "", '"q"'), ("", "\\", "x, y"), ("end", " ", "é")]
+    registry.write(spark.createDataFrame(rows, "a string, b string, c string"), f"{tmp_path}/o.tsv")
+    lines = sorted(x for p in (tmp_path / "o.tsv").glob("part-*") for x in p.read_text().split("\n") if x)
+    assert sorted({*lines} - {"a\tb\tc"}) == sorted("\t".join(r) for r in rows)
+    df = spark.createDataFrame([("", ""), ("", "")], "a string, b string").coalesce(1)
+    registry.write(df, f"{tmp_path}/e.tsv")
+    assert [p.read_text() for p in (tmp_path / "e.tsv").glob("part-*")] == ["a\tb\n\t\n\t\n"]
+
+
 def test_stray_cells(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("A\n1\n2\n3.7\n")
     assert [r.A for r in registry.read(spark, str(tmp_path / "t.tsv")).collect()] == [1, 2, 3]

@@ -9,6 +9,7 @@ import zstandard
 
 from millrace.cli import argument, main, prompt
 from millrace.plans.engine import Engine
+from millrace.queries import relational
 from millrace.sources import bam, registry, tsv
 
 
@@ -138,6 +139,35 @@ def test_alignments_are_split_over_tasks(spark, tmp_path, block, split):
     assert [(r.name, ["c1", "c2"].index(r.reference), r.pos - 1, r.seq) for r in df.collect()] == reads
 
 
+def test_alignments_are_packed_by_tasks(spark, tmp_path, monkeypatch):
+    spark.range(0, 3000, 1, 3).selectExpr("(id * 7) % 3000 as o_orderkey", "id as o_custkey", "'O' as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    frame, seen = type(spark.range(1)), []
+    collect = frame.collect
+
+    def counted(df):
+        seen.append(len(rows := collect(df)))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    df = relational.QUERIES["alignments"](spark, str(tmp_path))
+    assert sum(seen) <= 16  # no rows of the table come to the driver, only names of files
+    want = sorted((f"r{i * 7 % 3000}", "chr1", i + 1, f"{1 + i % 4}M", "ACGT"[: 1 + i % 4]) for i in range(3000))
+    assert sorted(map(tuple, collect(df))) == want and df.rdd.getNumPartitions() > 1
+
+
+def test_packed_files_follow_partitions(spark, tmp_path):
+    cols, refs = ["'r' || id", "0", "id", "'ACGT'"], [("c1", 1000)]
+    df = spark.range(0, 10, 1, 5)
+    for name, rows, n in (("a", df.where("id < 2 or id > 5"), 5), ("b", df.where("id > 99"), 5), ("c", df.where("1 = 0"), 1)):
+        found = bam.write_packed(rows.selectExpr(*cols), f"{tmp_path}/{name}", refs, 97)
+        assert len(list((tmp_path / name).glob("part-*"))) == n
+        assert [(r.name, r.pos, r.seq) for r in bam.read_alignments(spark, found, 60).collect()] == [(f"r{r.id}", r.id + 1, "ACGT") for r in rows.collect()]
+    reads = [(f"r{i}", 0, i, "ACGTN" * (i % 60)) for i in range(300)]
+    files = [b"".join(bam.packed_blocks(refs, iter(reads), 97)), bam.packed(refs, reads, 97)]
+    assert files[0] == files[1] and (tmp_path / "d.bam").write_bytes(files[0]) == len(files[0])
+    assert [(r[0], r[2] - 1, r[9].replace("*", "")) for r in bam.read_records(f"{tmp_path}/d.bam")] == [(n, i, s) for n, _, i, s in reads]
+
+
 def test_formats(spark, tmp_path):
     assert registry.find("x.bed.count").name == "bed" and registry.find("a/b.tsv.gz").name == "tsv" and registry.find("q", "tsv").name == "tsv"
     with pytest.raises(ValueError, match="no such format"):
